@@ -92,18 +92,20 @@ def sainte_lague(votes: DataFrame, group: list[str], keys: list[str]) -> DataFra
     return v.join(right, same, "left").select(*votes.columns, (F.col("__sure") + F.coalesce("__won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED, carry: bool = False) -> DataFrame:
     """What the mix takes of every document.
 
     Returns ``doc_id, size, source_size, target, taken`` and the places that
     were taken: ``whole`` (times the whole document is taken) and the word
-    intervals ``[a0, a1)`` and ``[b0, b1)`` that are taken once more.
+    intervals ``[a0, a1)`` and ``[b0, b1)`` that are taken once more; with
+    ``carry`` also the input row as the struct ``__row``.
     Defined results: a null or wordless text has size 0 and nothing taken; the
     null source is a source, last in order; repeated rows are documents of their
     own; null ids are in order like others; an empty table gives no rows. The
     same rows give the same result in any order and partitioning.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *row)
     base = materialize(base, "mix-sizes")
     per_source = materialize(base.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), "mix-sources")
     goal = targets(per_source, weights, percent, cap)
@@ -136,4 +138,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     clip = lambda x: F.greatest(F.lit(0), F.least(x - begin, size)).cast("long")
     both = both.withColumn("a0", clip(F.lit(0))).withColumn("a1", clip(F.col("__wrap"))).withColumn("b0", clip(F.col("__lo"))).withColumn("b1", clip(F.col("__hi")))
     taken = F.col("__whole") * size + F.col("a1") - F.col("a0") + F.greatest(F.col("b1") - F.col("b0"), F.lit(0))
-    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("__whole").alias("whole"), "a0", "a1", "b0", "b1")
+    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("__whole").alias("whole"), "a0", "a1", "b0", "b1", *(["__row"] if carry else []))
+
+
+def apply_mix(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """The mixed documents: ``docs``' rows as often as the mix takes them whole,
+    and once more with the words of a part that it takes; all columns stay, the
+    text and, where there is one, its length are those of the part."""
+    mixed = mix(docs, text_col=text_col, carry=True, **options)
+    text = F.col(f"__row.`{text_col}`")
+    rest = F.col("a1") - F.col("a0") + F.greatest(F.col("b1") - F.col("b0"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
+    cut = lambda lo, hi: F.slice(words, (F.col(lo) + 1).cast("int"), F.greatest(F.col(hi) - F.col(lo), F.lit(0)).cast("int"))
+    part = F.when(rest == F.col("size"), text).otherwise(F.array_join(F.concat(cut("a0", "a1"), cut("b0", "b1")), ""))
+    copies = F.concat(F.array_repeat(F.lit(True), F.col("whole").cast("int")), F.when(rest > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    out = mixed.where("taken > 0").select("*", F.explode(copies).alias("__full")).withColumn("__text", F.when(F.col("__full"), text).otherwise(part))
+    columns = {c: F.col(f"__row.`{c}`") for c in docs.columns} | {text_col: F.col("__text")}
+    if chars_col in columns:
+        columns[chars_col] = F.length("__text").cast(docs.schema[chars_col].dataType)
+    return out.select(*[x.alias(c) for c, x in columns.items()])

@@ -21,6 +21,7 @@ import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sieveloom.llm import graph
 from sieveloom.llm.common import broadcast_if_small, connected_components, materialize
@@ -234,12 +235,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(member, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def near_duplicates_filter(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose id is their component's smallest, all columns kept
-    (and so one document of each group; repeated rows of that id become one)."""
-    found = near_duplicates(docs, radius=radius).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that with the smallest id; all columns
+    stay. Of repeated rows of an id one stays (that with the smallest text);
+    rows with a null id stay, as no id can be kept for them."""
+    found = near_duplicates(docs.where("doc_id IS NOT NULL"), radius=radius)
+    ids = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.count(F.lit(1)).alias("n")).where("low = doc_id").select(F.col("doc_id").alias("__id"), "n"), "simhash-kept")
+    kept = docs.join(ids.select("__id"), docs["doc_id"] == ids["__id"], "left_semi")
+    if ids.where("n > 1").limit(1).count():
+        several = ids.where("n > 1").select("__id")
+        once = kept.join(several, kept["doc_id"] == several["__id"], "left_semi")
+        first = Window.partitionBy("doc_id").orderBy("text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")])
+        once = once.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+        kept = kept.join(several, kept["doc_id"] == several["__id"], "left_anti").union(once)
+    return kept.union(docs.where("doc_id IS NULL"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
