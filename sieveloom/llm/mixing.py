@@ -27,9 +27,10 @@ SEED = "mix-1"
 
 def n_words(text: Column) -> Column:
     """Number of white-space separated words; 0 for null."""
-    parts = F.split(text, r"[\x20\x09-\x0D]+")
-    edge = F.when(parts[0] == "", 1).otherwise(0) + F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.when(text.isNull(), 0).otherwise(F.size(parts) - edge).cast("long")
+    parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
+    empty = lambda i: (F.element_at(parts, i) == "").cast("long")
+    # without conditions, so that the text is split once
+    return F.size(parts).cast("long") - empty(1) - F.least(empty(-1), F.size(parts).cast("long") - 1)
 
 
 def seeded(number: Column, salt: str, seed: str = SEED) -> Column:

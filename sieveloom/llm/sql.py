@@ -14,11 +14,7 @@ def quoted(text: str) -> str:
 
 
 def _canonical(column: str) -> str:
-    low = f"lower({column})"
-    out = (
-        f"CASE WHEN contains({low}, 'copyright') OR contains({low}, '(c)') OR contains({low}, '©') OR contains({low}, 'rights reserved') "
-        f"THEN regexp_replace({low}, {quoted(license_scan.COPYRIGHT_LINE)}, chr(10), 'g') ELSE {low} END"
-    )
+    out = f"regexp_replace(lower({column}), {quoted(license_scan.COPYRIGHT_LINE)}, chr(10), 'g')"
     out = f"' ' || trim(regexp_replace({out}, {quoted(license_scan.NOT_WORD)}, '  ', 'g')) || ' '"
     for pattern, to in license_scan.SPELLINGS:
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(to)}, 'g')"
@@ -41,12 +37,12 @@ def _replace(x: str, pattern: str, to: str) -> str:
 
 
 def _unescape(x: str) -> str:
-    named = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in warc.ENTITIES.items()) + "}"
-    name = f"regexp_extract(p, {quoted(warc.ENTITY)}, 1)"
-    code = f"CASE WHEN lower({name}[1:2]) = '#x' THEN try_cast('0x' || {name}[3:] AS BIGINT) WHEN {name}[1:1] = '#' THEN try_cast({name}[2:] AS BIGINT) END"
+    named = "MAP {'amp': '&', " + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in warc.ENTITIES.items()) + "}"
+    name = "string_split(p, ';')[1]"
+    code = f"CASE WHEN NOT regexp_matches({name}, {quoted(warc.NUMBERED)}) THEN NULL WHEN lower({name}[2:2]) = 'x' THEN try_cast('0x' || {name}[3:] AS BIGINT) ELSE try_cast({name}[2:] AS BIGINT) END"
     rest = f"substring(p, length({name}) + 2)"
     one = (
-        f"CASE WHEN {named}[{name}] IS NOT NULL THEN {named}[{name}] || {rest} "
+        f"CASE WHEN NOT contains(p, ';') THEN '&' || p WHEN {named}[{name}] IS NOT NULL THEN {named}[{name}] || {rest} "
         f"WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 THEN chr(CAST(({code}) AS INTEGER)) || {rest} ELSE '&' || p END"
     )
     return f"string_split({x}, '&')[1] || array_to_string(list_transform(string_split({x}, '&')[2:], lambda p: {one}), '')"
@@ -60,9 +56,9 @@ def _plain(x: str) -> str:
 
 
 def _squeeze(x: str) -> str:
-    out = _replace(x, r"[ \t\x0B\f\r\x{A0}]+", "' '")
+    out = _replace(x, warc.SPACES, "' '")
     out = _replace(out, r" ?\n[ \n]*", "chr(10)")
-    return _replace(out, r"^[ \n]+|[ \n]+$", "''")
+    return f"trim({out}, ' ' || chr(10))"
 
 
 def _id(parts: str) -> str:

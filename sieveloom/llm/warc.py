@@ -20,13 +20,15 @@ SOFTWARE = "sieveloom"
 EPOCH = "1970-01-01T00:00:00Z"
 _S = r"[ \t\n\f\r/]"
 #: Left out with all they hold.
-HIDDEN = "(?is)" + "|".join([r"<!--.*?-->"] + [rf"<{t}(?:{_S}[^>]*)?>.*?</{t}[ \t\n\f\r]*>" for t in ("script", "style", "head", "noscript", "template")])
+HIDDEN = "(?is)<(?:" + "|".join([r"!--.*?-->"] + [rf"{t}(?:{_S}[^>]*)?>.*?</{t}[ \t\n\f\r]*>" for t in ("script", "style", "head", "noscript", "template")]) + ")"
 #: Tags that begin or end a line.
 BREAKS = rf"(?i)</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|aside|header|footer|main|nav|blockquote|pre|form|body|html)(?:{_S}[^>]*)?>"
 TAGS = r"</?[a-zA-Z!?][^>]*>"
-ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
+#: White space that is not one plain space already (most of it is, and is passed over).
+SPACES = r"[ \t\x0B\f\r\x{A0}]{2,}|[\t\x0B\f\r\x{A0}]"
+NUMBERED = r"^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})$"
 ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "mdash": "—", "ndash": "–", "hellip": "…",
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "mdash": "—", "ndash": "–", "hellip": "…",
     "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "bull": "•", "middot": "·", "euro": "€", "pound": "£", "sect": "§", "deg": "°",
     "auml": "ä", "ouml": "ö", "uuml": "ü", "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "szlig": "ß", "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "ntilde": "ñ",
 }
@@ -37,16 +39,23 @@ def unescape(text: Column) -> Column:
     named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
 
     def one(part: Column) -> Column:
-        name = F.regexp_extract(part, ENTITY, 1)
+        name = F.substring_index(part, ";", 1)
         rest = F.substring(part, F.length(name) + 2, F.length(part))
-        code = F.when(F.lower(F.substring(name, 1, 2)) == "#x", F.conv(F.substring(name, 3, 6), 16, 10).cast("long")).when(F.substring(name, 1, 1) == "#", F.substring(name, 2, 7).cast("long"))
-        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10).cast("long")).otherwise(F.substring(name, 2, 7).cast("long"))
         char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(named[name].isNotNull(), F.concat(named[name], rest)).when(good, F.concat(char, rest)).otherwise(F.concat(F.lit("&"), part))
-
+        good = name.rlike(NUMBERED) & (code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF))
+        plain = F.concat(F.lit("&"), part)
+        # the commonest first; each branch is computed only where it is taken
+        return (
+            F.when(part.startswith("amp;"), F.concat(F.lit("&"), F.substring(part, F.lit(5), F.length(part))))
+            .when(~part.contains(";"), plain)
+            .when(part.startswith("#"), F.when(good, F.concat(char, rest)).otherwise(plain))
+            .otherwise(F.coalesce(F.concat(named[name], rest), plain))
+        )
+
+    # no condition around this: what stands in a branch is computed anew there
     parts = F.split(text, "&")
-    whole = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
-    return F.when(text.contains("&"), whole).otherwise(text)
+    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
 
 
 def plain_text(html: Column) -> Column:
@@ -55,9 +64,9 @@ def plain_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"[\n\r]+", " ")
     out = F.regexp_replace(out, BREAKS, "\n")
     out = unescape(F.regexp_replace(out, TAGS, ""))
-    out = F.regexp_replace(out, r"[ \t\x0B\f\r\x{A0}]+", " ")
+    out = F.regexp_replace(out, SPACES, " ")
     out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    return F.btrim(out, F.lit(" \n"))
 
 
 def sha256(text: Column) -> Column:
