@@ -44,9 +44,7 @@ SPELLINGS = (
 
 def canonical(text: Column) -> Column:
     """The canonical form; null stays null, a text without words is ``' '``-only."""
-    low = F.lower(text)
-    some = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("rights reserved")
-    out = F.when(some, F.regexp_replace(low, COPYRIGHT_LINE, "\n")).otherwise(low)
+    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, "  ")), F.lit(" "))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))

@@ -53,9 +53,11 @@ def unescape(text: Column) -> Column:
             .otherwise(F.coalesce(F.concat(named[name], rest), plain))
         )
 
-    # no condition around this: what stands in a branch is computed anew there
-    parts = F.split(text, "&")
-    return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+    def whole(parts: Column) -> Column:
+        return F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))
+
+    # a lambda's variable is computed once; an expression named thrice, three times
+    return F.transform(F.array(F.split(text, "&")), whole)[0]
 
 
 def plain_text(html: Column) -> Column:
