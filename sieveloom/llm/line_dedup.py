@@ -1,7 +1,9 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, components.
 
 Built-in column functions only. Normalised lines are reduced to distinct ones
-with a 64-bit SimHash of their words. Fingerprints within three bits agree on
+with a 64-bit SimHash of their words, in which long words weigh more: were
+common short words to count alike, unrelated lines would share blocks by the
+thousand. Fingerprints within three bits agree on
 two of five blocks, so ten keys for each fingerprint bring all such pairs
 together. A key's members are first compared with its smallest member; after
 the linked ones are merged, only members outside the main component are
@@ -22,15 +24,21 @@ from sieveloom.llm.common import broadcast_if_small, connected_components, mater
 from sieveloom.llm.simhash import RADIUS, block_masks
 
 SIMILARITY = 0.8
-#: Lines, or line pairs' texts, that are broadcast at most.
-BROADCAST_LINES = 1_000_000
+#: Bits of each count of votes; three counts share a long.
+LANE = 21
+#: Documents, by id, whose equal lines are counted together.
+RANGE = 64
 
 
 def normalized(line: Column) -> Column:
     """Lower case, single spaces, no white space at either end."""
-    low = F.lower(line)
-    odd = low.contains("  ") | low.contains("\t") | low.contains("\r") | low.contains("\f") | low.contains("\x0b")
-    return F.trim(F.when(odd, F.regexp_replace(low, r"[ \t\r\f\x0B]+", " ")).otherwise(low))
+    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "))
+
+
+def _weight(word: Column) -> Column:
+    """The square of half a word's length, from 1 to 49."""
+    half = F.greatest(F.lit(1), F.least(F.lit(7), F.shiftright(F.length(word), 1)))
+    return (half * half).cast("long")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,27 +48,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     return every.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), F.col("norm")).alias("h2"))
 
 
-def _fingerprint(votes: int = 32) -> Column:
-    """The majority bits of 32 sums, each of which counts two of the hash's bits."""
+def _fingerprint() -> Column:
+    """The majority bits of the lanes' sums, each of which counts three of the hash's bits."""
     bits = []
-    for i in range(votes):
-        for shift, count in ((0, F.col(f"a{i}").bitwiseAND(F.lit(0xFFFFFFFF))), (32, F.shiftrightunsigned(f"a{i}", 32))):
-            b = i + shift
-            bits.append(F.when(count * 2 > F.col("words"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    for b in range(64):
+        count = F.shiftrightunsigned(f"a{b % LANE}", LANE * (b // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) if b < 63 else F.col("a63")
+        bits.append(F.when(count * 2 > F.col("weight"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """``line, h1, h2, fp, first_doc, n``: the distinct normalised lines. Two
-    64-bit hashes stand for a line's text. Each bit's count has 32 bits of its
-    own, and documents are counted in ranges of 2**20 ids so that a line that
-    every document holds cannot overflow one."""
-    words = _lines(docs).select("h1", "h2", "doc_id", F.coalesce(F.expr("doc_id div 1048576"), F.lit(-1)).alias("range"), F.posexplode(F.split("norm", " ")).alias("at", "word"))
-    words = words.select("h1", "h2", "doc_id", "range", (F.col("at") == 0).cast("long").alias("one"), F.xxhash64("word").alias("h"))
-    pair = F.lit(0x0000000100000001).cast("long")
-    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)).alias(f"a{i}") for i in range(32)]
-    votes = words.groupBy("h1", "h2", "range").agg(F.min("doc_id").alias("first_doc"), F.sum("one").alias("n"), F.count(F.lit(1)).alias("words"), *sums)
-    votes = votes.select("h1", "h2", "first_doc", "n", _fingerprint().alias("fp"))
+    64-bit hashes stand for a line's text. Votes are first summed for ranges of
+    documents: a line's whole weight can be two million there before counts run
+    over, which would spoil its fingerprint (and with it near matches of this
+    line, never exact ones)."""
+    words = _lines(docs).select("h1", "h2", "doc_id", F.coalesce(F.expr(f"doc_id div {RANGE}"), F.lit(-1)).alias("range"), F.posexplode(F.split("norm", " ")).alias("at", "word"))
+    words = words.select("h1", "h2", "doc_id", "range", (F.col("at") == 0).cast("long").alias("one"), F.xxhash64("word").alias("h"), _weight(F.col("word")).alias("w"))
+    lanes = F.lit(1 | 1 << LANE | 1 << 2 * LANE).cast("long")
+    sums = [F.try_sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes) * F.col("w")).alias(f"a{i}") for i in range(LANE)]
+    votes = words.groupBy("h1", "h2", "range").agg(F.min("doc_id").alias("first_doc"), F.sum("one").alias("n"), F.sum("w").alias("weight"), F.sum(F.shiftrightunsigned("h", 63) * F.col("w")).alias("a63"), *sums)
+    votes = votes.select("h1", "h2", "first_doc", "n", F.coalesce(_fingerprint(), F.col("h1")).alias("fp"))
     lines = votes.groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"))
     return materialize(lines.withColumn("line", F.monotonically_increasing_id()), "lines")
 
@@ -79,7 +87,7 @@ def _members(lines: DataFrame) -> DataFrame:
     # the key follows from (t, fp), so only these two are shuffled
     shared = keyed.groupBy("t", F.col("fp").bitwiseAND(mask).alias("k")).agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(shared, "line-keys")
-    small = broadcast_if_small(shared.withColumnRenamed("t", "st"), limit=BROADCAST_LINES)
+    small = broadcast_if_small(shared.withColumnRenamed("t", "st"))
     return materialize(keyed.join(small, (F.col("t") == F.col("st")) & (F.col("fp").bitwiseAND(mask) == F.col("k"))).select("t", "k", "fp", "low", "n"), "line-members")
 
 
@@ -89,7 +97,7 @@ def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: f
     pairs = materialize(pairs, f"{label}-pairs")
     wanted = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()
     wanted = materialize(wanted.join(lines.select("line", "h1", "h2"), "line"), f"{label}-wanted")
-    texts = _lines(docs).select("h1", "h2", "norm").join(broadcast_if_small(wanted, limit=BROADCAST_LINES), ["h1", "h2"])
+    texts = _lines(docs).select("h1", "h2", "norm").join(broadcast_if_small(wanted), ["h1", "h2"])
     texts = materialize(texts.groupBy("line").agg(F.min("norm").alias("norm")), f"{label}-texts")
     both = pairs.join(texts.select(F.col("line").alias("x"), F.col("norm").alias("a")), "x").join(texts.select(F.col("line").alias("y"), F.col("norm").alias("b")), "y")
     longer = F.greatest(F.length("a"), F.length("b"))
@@ -118,6 +126,9 @@ def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     rest = outside.join(many.select("t", "k", F.col("fp").alias("fy"), F.col("c").alias("cy"), "low"), ["t", "k"]).where((F.col("cx") != F.col("cy")) & (F.col("fy") != F.col("low")) & _near("fx", "fy"))
     rest = rest.select(F.least("fx", "fy").alias("fx"), F.greatest("fx", "fy").alias("fy")).distinct()
     b = rest.join(of.select(F.col("fp").alias("fx"), F.col("line").alias("x")), "fx").join(of.select(F.col("fp").alias("fy"), F.col("line").alias("y")), "fy").select("x", "y")
+    b = materialize(b, "line-b")
+    if not b.limit(1).count():
+        return comp
     more = _verified(docs, lines, b, similarity, "line-rest")
     if not more.limit(1).count():
         return comp
@@ -135,7 +146,7 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     grouped = grouped.join(keeper, "component").select("h1", "h2", "first_doc", ((F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).alias("keeps"))
     repeated = lines.where("n > 1").join(comp.select(F.col("node").alias("line")), "line", "left_anti").select("h1", "h2", "first_doc", F.lit(True).alias("keeps"))
     rules = materialize(grouped.union(repeated), "line-rules")
-    hits = _lines(docs).select("doc_id", "text_key", "pos", "h1", "h2").join(broadcast_if_small(rules, limit=BROADCAST_LINES), ["h1", "h2"])
+    hits = _lines(docs).select("doc_id", "text_key", "pos", "h1", "h2").join(broadcast_if_small(rules), ["h1", "h2"])
     order = Window.partitionBy("doc_id", "text_key", "h1", "h2").orderBy("pos")
     hits = hits.withColumn("nth", F.dense_rank().over(order))
     lost = hits.where(~(F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("nth") == 1)))
