@@ -20,7 +20,9 @@ WEIGHTS = (3, 1, 2)
 #: Share of all sizes that the mix takes, in percent, and the cap on repeats.
 PERCENT = 150
 CAP = 2
+#: Words of a block, at most; a small corpus is cut into no fewer than BLOCKS of them.
 BLOCK = 32
+BLOCKS = 4096
 SHARD_DOCS = 4096
 SEED = "mix-1"
 
@@ -109,6 +111,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *row)
     base = materialize(base, "mix-sizes")
     per_source = materialize(base.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), "mix-sources")
+    block = max(1, min(block, int(per_source.agg(F.sum("source_size")).first()[0] or 0) // BLOCKS))
     goal = targets(per_source, weights, percent, cap)
     total = F.sum("source_size").over(Window.partitionBy())
     seats = goal.withColumn("seats", F.floor((total * percent + 50 * block) / (100 * block)).cast("long")).withColumn("__all", F.lit(1))

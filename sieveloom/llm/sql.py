@@ -122,11 +122,12 @@ def _seeded(number: str, salt: str) -> str:
     return f"('0x' || substring(md5({quoted(f'{mixing.SEED}/{salt}/')} || {number}), 1, 8))::BIGINT"
 
 
-_B, _P, _C = mixing.BLOCK, mixing.PERCENT, mixing.CAP
+_B, _P, _C = "(SELECT b FROM blk)", mixing.PERCENT, mixing.CAP
 _W = "[" + ", ".join(map(str, mixing.WEIGHTS)) + "]"
 MIXING = f"""
 WITH base AS MATERIALIZED (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {quoted(mixing.WORD)})), 0)::BIGINT AS size FROM documents),
 per AS (SELECT source, count(*) AS n_docs, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
+blk AS MATERIALIZED (SELECT greatest(1, least({mixing.BLOCK}, sum(source_size)::BIGINT // {mixing.BLOCKS})) AS b FROM per),
 w AS (SELECT *, {_W}[(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1]::BIGINT AS weight FROM per),
 filled AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total,
   coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS below,
@@ -135,7 +136,7 @@ filled AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total,
 opened AS (SELECT *, total * {_P} - below * {100 * _C} AS spare, (total * {_P} - below * {100 * _C}) * weight <= source_size * {100 * _C} * above AS open FROM filled),
 level AS (SELECT spare, above FROM opened WHERE open ORDER BY source_size / weight, source IS NULL, source LIMIT 1),
 goal AS (SELECT o.source, n_docs, source_size, total, CASE WHEN open THEN (l.spare * weight)::DOUBLE / (l.above * 100) ELSE (source_size * {_C})::DOUBLE END AS target FROM opened o LEFT JOIN level l ON true),
-seats AS (SELECT *, (total * {_P} + {50 * _B}) // {100 * _B} AS seats FROM goal),
+seats AS (SELECT *, (total * {_P} + 50 * {_B}) // (100 * {_B}) AS seats FROM goal),
 offers AS (SELECT source, target, seats, unnest(range(0, (ceil(target / {_B}) + 100)::BIGINT)) AS i FROM seats WHERE target > 0),
 won AS (SELECT source, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY target / (2 * i + 1) DESC, source IS NULL, source, i) AS rank FROM offers) WHERE rank <= seats GROUP BY source),
 quotas AS (SELECT s.*, coalesce(quota, 0) AS quota, (n_docs + {mixing.SHARD_DOCS - 1}) // {mixing.SHARD_DOCS} AS shards FROM seats s LEFT JOIN won ON s.source IS NOT DISTINCT FROM won.source),
@@ -145,7 +146,7 @@ lined AS MATERIALIZED (SELECT *, (sum(size) OVER (PARTITION BY source, shard ORD
 sharded AS (SELECT source, shard, sum(size)::BIGINT AS words, any_value(quota) AS seats FROM lined GROUP BY source, shard),
 soffers AS (SELECT *, unnest(range(0, (ceil(seats::DOUBLE * words / greatest(sum(words) OVER (PARTITION BY source), 1)) + 100)::BIGINT)) AS i FROM sharded),
 swon AS (SELECT source, shard, count(*) AS quota FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY words / (2 * i + 1) DESC, shard, i) AS rank FROM soffers WHERE words > 0) WHERE rank <= seats GROUP BY source, shard),
-cut AS (SELECT s.source, s.shard, words, (words + {_B - 1}) // {_B} AS blocks, coalesce(quota, 0) AS quota FROM sharded s LEFT JOIN swon w ON s.source IS NOT DISTINCT FROM w.source AND s.shard = w.shard),
+cut AS (SELECT s.source, s.shard, words, (words + {_B} - 1) // {_B} AS blocks, coalesce(quota, 0) AS quota FROM sharded s LEFT JOIN swon w ON s.source IS NOT DISTINCT FROM w.source AND s.shard = w.shard),
 cut2 AS (SELECT *, CASE WHEN blocks > 0 THEN least(quota, blocks * {_C}) // blocks ELSE 0 END AS whole,
   CASE WHEN blocks > 0 THEN least(quota, blocks * {_C}) % blocks ELSE 0 END AS more,
   CASE WHEN blocks > 0 THEN {_seeded("coalesce(source, '') || '/' || shard", "start")} % blocks ELSE 0 END AS first FROM cut),

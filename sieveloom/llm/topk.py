@@ -69,7 +69,7 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.rint(queries @ rows.T).astype(np.int64)
     big = np.array([[int(x) for x in r] for r in queries], object) @ np.array([[int(x) for x in r] for r in rows], object).T
     lim = np.iinfo(np.int64)
-    return np.array([[min(max(int(x), lim.min), lim.max) for x in r] for r in big], np.int64).reshape(len(queries), len(rows))
+    return np.array([[min(max(int(x), lim.min + 1), lim.max) for x in r] for r in big], np.int64).reshape(len(queries), len(rows))
 
 
 class Best:
