@@ -131,6 +131,14 @@ class VectorModel:
         # a word that every row has is worth nothing: zero entries go
         return out.select("row_id", "cls", "weight", "attr_idx", (F.col("value") * F.col("avg_len") / F.nullif("norm", F.lit(0.0))).alias("value")).where("value IS NOT NULL AND value <> 0")
 
+    def stored(self, path: str) -> VectorModel:
+        """Write the model's tables below ``path`` and return a model that reads them."""
+        spark = self.words.sparkSession
+        tables = {"words": self.words, "n_rows": self.n_rows, "average": self.average}
+        for name, df in tables.items():
+            df.write.parquet(f"{path}/{name}")
+        return replace(self, **{name: spark.read.parquet(f"{path}/{name}") for name in tables})
+
     def transform(self, data: Relation) -> Sparse:
         scalars = tuple(a for a in data.attributes if not a.is_string)
         at = [a.name for a in scalars].index(data.class_name) if data.class_name else -1

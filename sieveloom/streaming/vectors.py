@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sieveloom.functions.text import tokens
 from sieveloom.model import Relation
 from sieveloom.operators.vectorize import VectorModel
+from sieveloom.sources.scratch import scratch_path
 
 
 def vectorize_stream(model: VectorModel, data: Relation) -> DataFrame:
@@ -21,7 +22,8 @@ def vectorize_stream(model: VectorModel, data: Relation) -> DataFrame:
     p = model.params
     if p.output_counts or p.normalize:
         raise ValueError("counts and normalisation need foreachBatch with model.transform")
-    return model.word_entries(data).select("row_id", "attr_idx", "value")
+    fixed = model.stored(scratch_path(data.frame.sparkSession, "model"))
+    return fixed.word_entries(data).select("row_id", "attr_idx", "value")
 
 
 def windowed_word_counts(stream: DataFrame, time: str, text: str, window: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
