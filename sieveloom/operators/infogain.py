@@ -19,21 +19,21 @@ def class_histogram(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def contingency(entries: DataFrame, rows: DataFrame, attributes: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``by, attr_idx, value_idx, cls, weight`` for every attribute in ``attributes``.
+    """``by, attr_idx, value_idx, cls, weight``, a row for each cell, for every attribute in ``attributes``.
 
     What is not stored has value 0, so value 0 gets each class's total less what
     is stored: the work follows the stored entries, not rows times attributes.
+    ``entries`` must hold no other attributes than those.
     Null value_idx and cls stand for missing.
     """
     keys = [*by, "attr_idx"]
-    stored = entries.groupBy(*keys, F.col("value").cast("int").alias("value_idx"), "cls").agg(F.sum("weight").alias("weight"))
-    stored = stored.join(attributes.select("attr_idx"), "attr_idx", "left_semi")
+    stored = entries.where("value IS NULL OR value <> 0").groupBy(*keys, F.col("value").cast("int").alias("value_idx"), "cls").agg(F.sum("weight").alias("weight"))
     taken = stored.groupBy(*keys, "cls").agg(F.sum("weight").alias("taken"))
     hist = class_histogram(rows, by)
     grid = attributes.select("attr_idx").crossJoin(F.broadcast(hist))  # attributes times classes (and folds): a cell each, as in the result
     same = [grid[k].eqNullSafe(taken[k]) for k in [*keys, "cls"]]
     zero = grid.join(taken, same, "left").select(*[grid[k] for k in keys], F.lit(0).alias("value_idx"), grid["cls"], (grid["total"] - F.coalesce(taken["taken"], F.lit(0.0))).alias("weight"))
-    return stored.select(*keys, "value_idx", "cls", "weight").union(zero).groupBy(*keys, "value_idx", "cls").agg(F.sum("weight").alias("weight")).where("weight <> 0")
+    return stored.select(*keys, "value_idx", "cls", "weight").union(zero).where("weight <> 0")
 
 
 def merge_missing(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -87,10 +87,15 @@ def info_gain(data: Sparse, missing_merge: bool = True, binarize_numeric: bool =
     table = data.attribute_table().where(F.col("attr_idx") != data.class_index)
     scored = table if binarize_numeric else table.where(F.col("kind") == NOMINAL)
     own = (binarize(own) if binarize_numeric else own).entries.where(F.col("attr_idx") != data.class_index)
+    if not binarize_numeric:
+        own = own.where(F.col("attr_idx").isin([i for i, a in enumerate(data.attributes) if a.is_nominal]))
     base_rows = data.rows if rows is None else rows
     # as many cells as attributes times values times classes: small, and read by every step below
     cells = contingency(own, base_rows, scored, by).persist(StorageLevel.MEMORY_AND_DISK)
-    cells = merge_missing(cells, by) if missing_merge else separate_missing(cells)
+    if not missing_merge:
+        cells = separate_missing(cells)
+    elif cells.where("value_idx IS NULL OR cls IS NULL").limit(1).count():  # else there is nothing to spread
+        cells = merge_missing(cells, by)
     gains = entropies(cells, by)
     ids = table.select("attr_idx")
     if by:
