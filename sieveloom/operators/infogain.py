@@ -28,6 +28,7 @@ def contingency(entries: DataFrame, rows: DataFrame, attributes: DataFrame, by:
     """
     keys = [*by, "attr_idx"]
     stored = entries.where("value IS NULL OR value <> 0").groupBy(*keys, F.col("value").cast("int").alias("value_idx"), "cls").agg(F.sum("weight").alias("weight"))
+    stored = stored.persist(StorageLevel.MEMORY_AND_DISK)  # no larger than the result, read twice
     taken = stored.groupBy(*keys, "cls").agg(F.sum("weight").alias("taken"))
     hist = class_histogram(rows, by)
     grid = attributes.select("attr_idx").crossJoin(F.broadcast(hist))  # attributes times classes (and folds): a cell each, as in the result
@@ -90,7 +91,7 @@ def info_gain(data: Sparse, missing_merge: bool = True, binarize_numeric: bool =
     if not binarize_numeric:
         own = own.where(F.col("attr_idx").isin([i for i, a in enumerate(data.attributes) if a.is_nominal]))
     base_rows = data.rows if rows is None else rows
-    # as many cells as attributes times values times classes: small, and read by every step below
+    # as many cells as attributes times values times classes, read by every step below
     cells = contingency(own, base_rows, scored, by).persist(StorageLevel.MEMORY_AND_DISK)
     if not missing_merge:
         cells = separate_missing(cells)

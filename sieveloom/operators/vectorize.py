@@ -87,11 +87,10 @@ def dictionary(counts: DataFrame, params: VectorParams, first_index: int) -> Dat
     the threshold included), numbered by first such class, then by word; df
     counts the rows of all classes."""
     prune = thresholds(counts, params)
-    kept = counts.join(F.broadcast(prune), "cls").where("cnt >= prune").groupBy("word").agg(F.min("cls").alias("first_cls"))
-    df = counts.groupBy("word").agg(F.sum("dc").alias("df"))
+    first = F.min(F.when(F.col("cnt") >= F.col("prune"), F.col("cls")))
+    kept = counts.join(F.broadcast(prune), "cls", "left").groupBy("word").agg(first.alias("first_cls"), F.sum("dc").alias("df")).where("first_cls IS NOT NULL")
     order = Window.orderBy("first_cls", "word")  # over kept words only
-    numbered = kept.withColumn("attr_idx", (F.row_number().over(order) - 1 + first_index).cast("int"))
-    return df.join(numbered, "word").select("attr_idx", "word", "first_cls", "df")
+    return kept.select((F.row_number().over(order) - 1 + first_index).cast("int").alias("attr_idx"), "word", "first_cls", "df")
 
 
 @dataclass(frozen=True)
@@ -163,11 +162,13 @@ def fit(data: Relation, params: VectorParams | None = None) -> VectorModel:
         raise ValueError("the class attribute must be nominal")
     per_class = params.per_class and data.class_name is not None
     params = replace(params, per_class=per_class)
-    counts = class_word_counts(data, params)
+    # read twice, for the thresholds and for the words: kept until the vocabulary is there
+    counts = class_word_counts(data, params).persist(StorageLevel.MEMORY_AND_DISK)
     # the vocabulary is used by every later step: kept, and recomputed if an executor is lost
     words = dictionary(counts, params, len([a for a in data.attributes if not a.is_string])).persist(StorageLevel.MEMORY_AND_DISK)
     n_rows = data.frame.agg(F.count(F.lit(1)).alias("n_rows"))
     model = VectorModel(params, words, n_rows, None, _fits(words))
+    counts.unpersist()
     return replace(model, average=average_length(model._values(data), data.rows()))
 
 

@@ -42,11 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, scan: DataFrame, key: str) -> DataFrame:
+    """Deal rows to all cores where the scan has fewer partitions than there are
+    cores (one small file); a large table is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else df
+
+
 def labelled(spark: SparkSession, sf_dir: str, missing: bool = False) -> Relation:
     """Labelled documents: class ``quality``, ``lang``, ``n_chars``, ``text``."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lang = F.nullif(F.col("lang"), F.lit("es")) if missing else F.col("lang")
     frame = docs.join(labels, "doc_id").select(F.col("doc_id").alias("row_id"), F.col("quality").cast("string").alias("quality"), lang.alias("lang"), F.col("n_chars").cast("double").alias("n_chars"), "text")
+    frame = spread(frame, docs, "row_id")
     attributes = (Attribute("quality", NOMINAL, ("0", "1")), Attribute("lang", NOMINAL, LANGS), Attribute("n_chars", NUMERIC), Attribute("text", STRING))
     return Relation("documents", attributes, frame, "quality")
 
