@@ -32,7 +32,12 @@ RANGE = 64
 
 def normalized(line: Column) -> Column:
     """Lower case, single spaces, no white space at either end."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "))
+    def single(low: Column) -> Column:
+        odd = low.contains("  ") | low.contains("\t") | low.contains("\r") | low.contains("\f") | low.contains("\x0b")
+        return F.trim(F.when(odd, F.regexp_replace(low, r"[ \t\r\f\x0B]+", " ")).otherwise(low))
+
+    # a lambda's variable is computed once
+    return F.transform(F.array(F.lower(line)), single)[0]
 
 
 def _weight(word: Column) -> Column:
@@ -44,7 +49,8 @@ def _weight(word: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, pos, norm, h1, h2`` of every line that is not blank."""
     every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    every = every.select("doc_id", "text_key", "pos", normalized(F.col("line")).alias("norm")).where("norm <> ''")
+    # on the line itself: a condition on the normalised one would compute it twice
+    every = every.where(F.col("line").rlike(r"[^ \t\r\f\x0B]")).select("doc_id", "text_key", "pos", normalized(F.col("line")).alias("norm"))
     return every.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), F.col("norm")).alias("h2"))
 
 
@@ -91,19 +97,23 @@ def _members(lines: DataFrame) -> DataFrame:
     return materialize(keyed.join(small, (F.col("t") == F.col("st")) & (F.col("fp").bitwiseAND(mask) == F.col("k"))).select("t", "k", "fp", "low", "n"), "line-members")
 
 
-def _verified(docs: DataFrame, lines: DataFrame, pairs: DataFrame, similarity: float, label: str) -> DataFrame:
+def _texts(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``line, norm``: the texts of the pairs' lines; one pass over the documents."""
+    wanted = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct().join(lines.select("line", "h1", "h2"), "line")
+    wanted = materialize(wanted, "line-wanted")
+    found = _lines(docs).select("h1", "h2", "norm").join(broadcast_if_small(wanted), ["h1", "h2"])
+    return materialize(found.groupBy("line").agg(F.min("norm").alias("norm")), "line-texts")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, label: str) -> DataFrame:
     """Those ``pairs`` (``x``, ``y``: lines) whose texts are similar enough:
-    1 - edits / longer length >= similarity."""
-    pairs = materialize(pairs, f"{label}-pairs")
-    wanted = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()
-    wanted = materialize(wanted.join(lines.select("line", "h1", "h2"), "line"), f"{label}-wanted")
-    texts = _lines(docs).select("h1", "h2", "norm").join(broadcast_if_small(wanted), ["h1", "h2"])
-    texts = materialize(texts.groupBy("line").agg(F.min("norm").alias("norm")), f"{label}-texts")
+    1 - edits / longer length >= similarity. Most that pass differ little, and
+    the work grows with the edits allowed, so few are allowed first."""
     both = pairs.join(texts.select(F.col("line").alias("x"), F.col("norm").alias("a")), "x").join(texts.select(F.col("line").alias("y"), F.col("norm").alias("b")), "y")
     longer = F.greatest(F.length("a"), F.length("b"))
-    room = F.floor(longer * (1 - similarity) + 1e-9).cast("int")
-    both = both.withColumn("room", room).where(F.abs(F.length("a") - F.length("b")) <= F.col("room"))
-    return materialize(both.where("levenshtein(a, b, room) >= 0").select(F.col("x").alias("src"), F.col("y").alias("dst")), f"{label}-links")
+    both = both.withColumn("room", F.floor(longer * (1 - similarity) + 1e-9).cast("int")).where(F.abs(F.length("a") - F.length("b")) <= F.col("room"))
+    near = " OR ".join(f"levenshtein(a, b, cast({room} AS int)) >= 0" for room in ("room div 64", "room div 8", "room"))
+    return materialize(both.where(near).select(F.col("x").alias("src"), F.col("y").alias("dst")), f"{label}-links")
 
 
 def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -115,7 +125,8 @@ def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     equal = of.join(first.withColumnRenamed("line", "y"), "fp").where("line <> y").select(F.col("line").alias("x"), "y")
     lows = members.where(F.col("fp") != F.col("low")).where(_near("fp", "low")).select("fp", "low").distinct()
     a = lows.join(of.select("fp", F.col("line").alias("x")), "fp").join(of.select(F.col("fp").alias("low"), F.col("line").alias("y")), "low").select("x", "y")
-    found = _verified(docs, lines, equal.union(a), similarity, "line-low")
+    a = materialize(equal.union(a), "line-a")
+    found = _verified(_texts(docs, lines, a), a, similarity, "line-low")
     comp = connected_components(found, "line-low")
     # what is left: in keys of three or more, members outside the component of the smallest
     many = members.where("n > 2")
@@ -129,7 +140,7 @@ def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     b = materialize(b, "line-b")
     if not b.limit(1).count():
         return comp
-    more = _verified(docs, lines, b, similarity, "line-rest")
+    more = _verified(_texts(docs, lines, b), b, similarity, "line-rest")
     if not more.limit(1).count():
         return comp
     return connected_components(found.union(more), "line-all")
