@@ -23,11 +23,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process wrote, for clear_scratch().
+_written: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process. Results that were not
+    written yet still read them, so call this after the last action."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: the
     lineage ends there, so a lost executor costs a re-read and nothing more."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/sieveloom-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

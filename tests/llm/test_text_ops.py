@@ -1,6 +1,7 @@
 """Licences, SimHash, line dedup, mixing, packing: against brute force and in corner cases."""
 
 import itertools
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sieveloom.llm import license_scan, line_dedup, mixing, packing, simhash
-from sieveloom.llm.common import connected_components
+from sieveloom.llm.common import clear_scratch, connected_components, materialize
 from sieveloom.llm.license_texts import TEXTS
 from sieveloom.llm.queries import tokenizer_path
 from tests.llm.helpers import DOCS, documents, rows
@@ -40,6 +41,14 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_intermediate_tables_are_cleared(spark):
+    kept = materialize(spark.range(5), "test")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 5 and os.path.exists(path)
+    clear_scratch(spark)
+    assert not os.path.exists(path)
+
+
 # ---- licences -----------------------------------------------------------------------
 
 
