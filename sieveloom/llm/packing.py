@@ -24,8 +24,8 @@ from sieveloom.llm.common import materialize
 
 MAX_LEN = 2048
 END_ID = 1
-#: Words whose ids a Python worker remembers.
-CACHE_WORDS = 600_000
+#: Words whose ids a Python worker remembers: the first that it meets, as common words come early.
+CACHE_WORDS = 200_000
 #: Pieces of one length that are ranked together.
 RANK_ROWS = 2048
 
@@ -69,17 +69,15 @@ class WordIds(dict):
             if got is None:
                 seen = part if part.isascii() else "".join(map(self.byte_char.__getitem__, part))
                 got = np.array([x.id for x in self.model.tokenize(seen)], "<u4").tobytes()
-                if len(self.piece) >= self.limit:
-                    self.piece.clear()
-                self.piece[part] = got
+                if len(self.piece) < self.limit:
+                    self.piece[part] = got
             out.append(got)
         return b"".join(out)
 
     def __missing__(self, chunk: str) -> bytes:
         got = self._short(chunk) if self.fast and self.plain(chunk) else self._long(chunk)
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = got
+        if len(self) < self.limit:
+            self[chunk] = got
         return got
 
     def encode(self, text: str) -> bytes:

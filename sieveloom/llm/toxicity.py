@@ -43,7 +43,7 @@ def _words(text: str | None) -> set[str]:
 class Seen:
     """Words that were looked at, and the features of those that have any."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 250_000):
         self.words: set[str] = set()
         self.features: dict[str, tuple[str, ...]] = {}
         self.limit = limit
