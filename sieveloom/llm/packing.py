@@ -123,7 +123,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 def pack_histogram(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Packing patterns ``(times, ((length, how many), ...))`` that use up the
     histogram. Lengths are placed longest first; a length goes to the pattern
-    with most room left, of which as many as needed are split off."""
+    with most room left, of which as many as needed are split off. Where none has
+    room, it opens patterns of as many pieces of its own as fit."""
     room: dict[int, list[list]] = defaultdict(list)
     done = []
     for length in sorted((k for k, v in counts.items() if v > 0), reverse=True):
@@ -131,7 +132,10 @@ def pack_histogram(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple
         while left:
             free = max((k for k, v in room.items() if v), default=0)
             if free < length:
-                room[max_len - length].append([left, ((length, 1),)])
+                full = max_len // length
+                for times, many in ((left // full, full), (1, left % full)):
+                    if times and many:
+                        room[max_len - many * length].append([times, ((length, many),)])
                 break
             times, pattern = room[free].pop()
             fits = free // length if left >= times else 1

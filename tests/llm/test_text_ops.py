@@ -324,5 +324,21 @@ def test_histogram_packing_uses_it_up_and_pads_little():
     assert packing.pack_histogram({}) == [] and packing.pack_histogram({2048: 3}) == [(3, ((2048, 1),))]
 
 
+@pytest.mark.parametrize("hot", [60, 120, 300])
+def test_hot_lengths_share_sequences(hot):
+    r = random.Random(1)
+    counts = Counter(max(1, min(2048, int(r.lognormvariate(5.5, 1)))) for _ in range(20000))
+    counts[hot] += 10000
+    patterns = packing.pack_histogram(dict(counts))
+    used = Counter()
+    for times, pattern in patterns:
+        assert times > 0 and sum(n * k for n, k in pattern) <= 2048
+        for n, k in pattern:
+            used[n] += times * k
+    assert used == counts
+    assert sum(t for t, _ in patterns) * 2048 < sum(n * k for n, k in counts.items()) * 1.01
+    assert sum(t for t, _ in packing.pack_histogram({100: 1000})) == 50 == -(-1000 // (2048 // 100))
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS), tokenizer_path()).count() == 0
