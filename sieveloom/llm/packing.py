@@ -26,6 +26,8 @@ MAX_LEN = 2048
 END_ID = 1
 #: Words whose ids a Python worker remembers: the first that it meets, as common words come early.
 CACHE_WORDS = 200_000
+#: White space to Python, not to the tokenizer.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Pieces of one length that are ranked together.
 RANK_ROWS = 2048
 
@@ -48,6 +50,8 @@ class WordIds(dict):
         self.tokenizer, self.limit, self.piece = Tokenizer.from_file(path), limit, {}
         self.model = self.tokenizer.model
         letters = "A-Za-zÀ-ÖØ-öø-ÿ"
+        # str.split() would also split at, and drop, U+001C to U+001F, which are no white space to the tokenizer
+        self.split = re.compile(r"[^\S\x1c-\x1f]+").split
         self.plain = re.compile(rf"[{letters}0-9!-/:-;=-@\[-`{{-~]+").fullmatch
         self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[0-9]|[^{letters}0-9]+").findall
         bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -81,7 +85,8 @@ class WordIds(dict):
         return got
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        chunks = self.split(text) if any(x in text for x in SEPARATORS) else text.split()
+        return b"".join(map(self.__getitem__, filter(None, chunks)))
 
 
 def word_ids(path: str) -> WordIds:

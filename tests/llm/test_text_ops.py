@@ -309,6 +309,16 @@ def test_packs_are_whole(spark):
     assert sorted(placed) == list(range(len(placed)))
 
 
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    words = packing.WordIds(tokenizer_path())
+    whole = lambda x: np.array(words.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert len(spaces) == 29
+    for c in [*spaces, "\x00", "\u200b", "\ufeff"]:
+        for text in (f"ab{c}cd", c, f"{c}ab", f"ab {c} cd{c}", f"it{c}'s {c}{c}\n{c}1"):
+            assert words.encode(text) == whole(text), repr(text)
+
+
 def test_histogram_packing_uses_it_up_and_pads_little():
     r = random.Random(1)
     counts = Counter(min(2048, int(r.expovariate(1 / 300)) + 1) for _ in range(50000))
