@@ -26,8 +26,8 @@ from sieveloom.llm.simhash import RADIUS, block_masks
 SIMILARITY = 0.8
 #: Bits of each count of votes; three counts share a long.
 LANE = 21
-#: Documents, by id, whose equal lines are counted together.
-RANGE = 64
+#: Characters up to which a line's weight (at most 49 for 15 of them) fits a lane; longer lines are counted in full width.
+HEAVY = 1 << 19
 
 
 def normalized(line: Column) -> Column:
@@ -46,36 +46,45 @@ def _weight(word: Column) -> Column:
     return (half * half).cast("long")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, *extra: str) -> DataFrame:
     """``doc_id, text_key, pos, norm, h1, h2`` of every line that is not blank."""
-    every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    every = docs.select(*extra, "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     # on the line itself: a condition on the normalised one would compute it twice
-    every = every.where(F.col("line").rlike(r"[^ \t\r\f\x0B]")).select("doc_id", "text_key", "pos", normalized(F.col("line")).alias("norm"))
+    every = every.where(F.col("line").rlike(r"[^ \t\r\f\x0B]")).select(*extra, "doc_id", "text_key", "pos", normalized(F.col("line")).alias("norm"))
     return every.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), F.col("norm")).alias("h2"))
 
 
-def _fingerprint() -> Column:
-    """The majority bits of the lanes' sums, each of which counts three of the hash's bits."""
-    bits = []
-    for b in range(64):
-        count = F.shiftrightunsigned(f"a{b % LANE}", LANE * (b // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) if b < 63 else F.col("a63")
-        bits.append(F.when(count * 2 > F.col("weight"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+def _majority(counts: list[Column]) -> Column:
+    """The bits whose count is more than half the weight."""
+    bits = [F.when(c * 2 > F.col("weight"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in enumerate(counts)]
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
+def _fingerprints(every: DataFrame, heavy: bool) -> DataFrame:
+    """``h1, h2, first_doc, size, fp`` of each single occurrence, so that no
+    count depends on how often a line comes."""
+    words = every.select("h1", "h2", "doc_id", "occurrence", F.explode(F.split("norm", " ")).alias("word"))
+    words = words.select("h1", "h2", "doc_id", "occurrence", (F.length("word") + 1).alias("room"), F.xxhash64("word").alias("h"), _weight(F.col("word")).alias("w"))
+    if heavy:
+        sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) * F.col("w")).alias(f"a{b}") for b in range(64)]
+        counts = [F.col(f"a{b}") for b in range(64)]
+    else:
+        lanes = F.lit(1 | 1 << LANE | 1 << 2 * LANE).cast("long")
+        sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes) * F.col("w")).alias(f"a{i}") for i in range(LANE)]
+        sums.append(F.sum(F.shiftrightunsigned("h", 63) * F.col("w")).alias("a63"))
+        counts = [F.shiftrightunsigned(f"a{b % LANE}", LANE * (b // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) for b in range(63)] + [F.col("a63")]
+    votes = words.groupBy("h1", "h2", "occurrence").agg(F.min("doc_id").alias("first_doc"), (F.sum("room") - 1).alias("size"), F.sum("w").alias("weight"), *sums)
+    return votes.select("h1", "h2", "first_doc", "size", _majority(counts).alias("fp"))
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """``line, h1, h2, fp, first_doc, n``: the distinct normalised lines. Two
-    64-bit hashes stand for a line's text. Votes are first summed for ranges of
-    documents: a line's whole weight can be two million there before counts run
-    over, which would spoil its fingerprint (and with it near matches of this
-    line, never exact ones)."""
-    words = _lines(docs).select("h1", "h2", "doc_id", F.coalesce(F.expr(f"doc_id div {RANGE}"), F.lit(-1)).alias("range"), F.posexplode(F.split("norm", " ")).alias("at", "word"))
-    words = words.select("h1", "h2", "doc_id", "range", (F.col("at") == 0).cast("long").alias("one"), F.xxhash64("word").alias("h"), _weight(F.col("word")).alias("w"))
-    lanes = F.lit(1 | 1 << LANE | 1 << 2 * LANE).cast("long")
-    sums = [F.try_sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes) * F.col("w")).alias(f"a{i}") for i in range(LANE)]
-    votes = words.groupBy("h1", "h2", "range").agg(F.min("doc_id").alias("first_doc"), F.sum("one").alias("n"), F.sum("w").alias("weight"), F.sum(F.shiftrightunsigned("h", 63) * F.col("w")).alias("a63"), *sums)
-    votes = votes.select("h1", "h2", "first_doc", "n", F.coalesce(_fingerprint(), F.col("h1")).alias("fp"))
-    lines = votes.groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"))
+    """``line, h1, h2, fp, size, first_doc, n``: the distinct normalised lines
+    and their lengths. Two 64-bit hashes stand for a line's text."""
+    numbered = docs.withColumn("row", F.monotonically_increasing_id())
+    every = _lines(numbered, "row").withColumn("occurrence", F.struct("row", "pos"))
+    light = _fingerprints(every.where(F.length("norm") <= HEAVY), False)
+    heavy = _fingerprints(_lines(numbered.where(F.length("text") > HEAVY), "row").where(F.length("norm") > HEAVY).withColumn("occurrence", F.struct("row", "pos")), True)
+    lines = light.union(heavy).groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("first_doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     return materialize(lines.withColumn("line", F.monotonically_increasing_id()), "lines")
 
 

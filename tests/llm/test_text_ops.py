@@ -212,6 +212,16 @@ def test_line_corner_cases(spark):
     assert out.where("line = 'clash'").count() == 8
 
 
+def test_fingerprints_of_heavy_and_common_lines(spark):
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(14)) for _ in range(500)]
+    common, heavy = (" ".join(r.choice(words) for _ in range(n)) for n in (9_000, 60_000))
+    docs = documents(spark, [*[(None, common)] * 24, *[(i, common) for i in range(24)], (70, heavy), (71, "short one")]).select("doc_id", "text")
+    got = {x.size: (x.fp % (1 << 64), x.n) for x in line_dedup.distinct_lines(docs).collect()}
+    assert len(heavy) > line_dedup.HEAVY > len(common)
+    assert got == {len(x): (line_fp(x), n) for x, n in ((common, 48), (heavy, 1), ("short one", 1))}
+
+
 # ---- mixing ---------------------------------------------------------------------------
 
 
