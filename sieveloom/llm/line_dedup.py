@@ -5,10 +5,11 @@ with a 64-bit SimHash of their words, in which long words weigh more: were
 common short words to count alike, unrelated lines would share blocks by the
 thousand. Fingerprints within three bits agree on
 two of five blocks, so ten keys for each fingerprint bring all such pairs
-together. A key's members are first compared with its smallest member; after
-the linked ones are merged, only members outside the main component are
-compared with the rest, so a key of many like lines costs in proportion to its
-size and not to its square. Pairs are verified by edit similarity of the
+together. A key's lines are first compared with those of its smallest
+fingerprint, lines of equal fingerprint with the first of them; after the linked
+ones are merged, only lines outside the main component are compared with those
+of other components, so many like lines cost in proportion to their number and
+not to its square. Pairs are verified by edit similarity of the
 normalised lines, and one occurrence of each component stays.
 """
 
@@ -125,28 +126,40 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, label: str)
     return materialize(both.where(near).select(F.col("x").alias("src"), F.col("y").alias("dst")), f"{label}-links")
 
 
+def _line_pairs(fps: DataFrame, x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
+    """``x, y`` of pairs of fingerprints ``fx, fy``: their lines, but for those
+    whose lengths alone differ by more edits than may be."""
+    both = fps.join(x.select(F.col("fp").alias("fx"), F.col("line").alias("x"), F.col("size").alias("sx"), F.col("c").alias("cx")), "fx")
+    both = both.join(y.select(F.col("fp").alias("fy"), F.col("line").alias("y"), F.col("size").alias("sy"), F.col("c").alias("cy")), "fy")
+    fits = F.abs(F.col("sx") - F.col("sy")) <= F.floor(F.greatest("sx", "sy") * (1 - similarity) + 1e-9)
+    return both.where((F.col("x") != F.col("y")) & (F.col("cx") != F.col("cy")) & fits).select("x", "y")
+
+
 def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``node, component`` of the lines that are similar to another one."""
     members = _members(lines)
-    of = lines.select("fp", "line")
-    first = of.groupBy("fp").agg(F.min("line").alias("line"))
+    of = lines.select("fp", "line", "size", F.col("line").alias("c"))
     # equal fingerprints: each line with the first of them
-    equal = of.join(first.withColumnRenamed("line", "y"), "fp").where("line <> y").select(F.col("line").alias("x"), "y")
-    lows = members.where(F.col("fp") != F.col("low")).where(_near("fp", "low")).select("fp", "low").distinct()
-    a = lows.join(of.select("fp", F.col("line").alias("x")), "fp").join(of.select(F.col("fp").alias("low"), F.col("line").alias("y")), "low").select("x", "y")
-    a = materialize(equal.union(a), "line-a")
+    first = of.groupBy("fp").agg(F.min_by(F.struct("line", "size"), "line").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "f.line", "f.size", F.col("f.line").alias("c"))
+    equal = _line_pairs(first.select(F.col("fp").alias("fx"), F.col("fp").alias("fy")), of, first, similarity)
+    lows = members.where(F.col("fp") != F.col("low")).where(_near("fp", "low")).select(F.col("fp").alias("fx"), F.col("low").alias("fy")).distinct()
+    a = materialize(equal.union(_line_pairs(lows, of, of, similarity)), "line-a")
     found = _verified(_texts(docs, lines, a), a, similarity, "line-low")
     comp = connected_components(found, "line-low")
-    # what is left: in keys of three or more, members outside the component of the smallest
-    many = members.where("n > 2")
-    label = first.join(comp.withColumnRenamed("node", "line"), "line", "left").select("fp", F.coalesce("component", "line").alias("c"))
-    many = many.join(label, "fp").join(label.select(F.col("fp").alias("low"), F.col("c").alias("c_low")), "low")
+    # what is left: lines outside the component of their key's, or their fingerprint's, first line
+    labels = materialize(of.drop("c").join(comp.select(F.col("node").alias("line"), F.col("component").alias("c")), "line", "left").select("fp", "line", "size", F.coalesce("c", "line").alias("c")), "line-labels")
+    span = labels.groupBy("fp").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    many = members.where("n > 2").join(span, "fp").join(span.select(F.col("fp").alias("low"), F.col("c0").alias("c_low")), "low")
     many = materialize(many, "line-many")
-    outside = many.where("c <> c_low").select("t", "k", F.col("fp").alias("fx"), F.col("c").alias("cx"))
-    rest = outside.join(many.select("t", "k", F.col("fp").alias("fy"), F.col("c").alias("cy"), "low"), ["t", "k"]).where((F.col("cx") != F.col("cy")) & (F.col("fy") != F.col("low")) & _near("fx", "fy"))
+    # all lines of the smallest fingerprint were compared already
+    others = many.where("fp <> low")
+    outside = others.where("c0 <> c_low OR c1 <> c_low").select("t", "k", F.col("fp").alias("fx"), F.col("c0").alias("x0"), F.col("c1").alias("x1"))
+    rest = outside.join(others.select("t", "k", F.col("fp").alias("fy"), F.col("c0").alias("y0"), F.col("c1").alias("y1")), ["t", "k"])
+    rest = rest.where((F.col("fx") != F.col("fy")) & (F.least("x0", "y0") != F.greatest("x1", "y1")) & _near("fx", "fy"))
     rest = rest.select(F.least("fx", "fy").alias("fx"), F.greatest("fx", "fy").alias("fy")).distinct()
-    b = rest.join(of.select(F.col("fp").alias("fx"), F.col("line").alias("x")), "fx").join(of.select(F.col("fp").alias("fy"), F.col("line").alias("y")), "fy").select("x", "y")
-    b = materialize(b, "line-b")
+    within = span.where("c0 <> c1").select(F.col("fp").alias("fx"), F.col("fp").alias("fy"))
+    b = _line_pairs(rest, labels, labels, similarity)
+    b = materialize(b.union(_line_pairs(within, labels, labels, similarity).where("x < y")), "line-b")
     if not b.limit(1).count():
         return comp
     more = _verified(_texts(docs, lines, b), b, similarity, "line-rest")

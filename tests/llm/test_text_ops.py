@@ -212,6 +212,15 @@ def test_line_corner_cases(spark):
     assert out.where("line = 'clash'").count() == 8
 
 
+def test_lines_of_equal_fingerprint_are_all_compared(spark):
+    base = ["abcdefghijklmn " + f"{c * 3} " * 6 for c in "bcd"]
+    lines = [*[x + "x" for x in base], *[x + "q" for x in base]]
+    assert len({line_fp(x) for x in lines}) == 1
+    assert {(i, j) for i, j in itertools.combinations(range(6), 2) if similarity(lines[i], lines[j]) >= 0.8} == {(0, 3), (1, 4), (2, 5)}
+    got = line_dedup.dedup_lines(documents(spark, list(enumerate(lines))))
+    assert rows(got.select("doc_id", "text")) == [(i, x if i < 3 else "") for i, x in enumerate(lines)]
+
+
 def test_fingerprints_of_heavy_and_common_lines(spark):
     r = random.Random(12)
     words = ["".join(r.choice("abcdefgh") for _ in range(14)) for _ in range(500)]
