@@ -160,10 +160,10 @@ def link_runs(run: np.ndarray, side: np.ndarray, fps: np.ndarray, ids: np.ndarra
     return ids[moved], ids[labels[moved]]
 
 
-def _shards(reps: DataFrame, tile: int, probe: int) -> DataFrame:
+def _shards(reps: DataFrame, radius: int, tile: int, probe: int) -> DataFrame:
     """Rows ``t, k, i, j, side, fp, rep``: a fingerprint in each of its shards,
     or, in a shard of more than ``tile``, in each pair of tiles with its own."""
-    masks = block_masks()
+    masks = block_masks(radius + 2, 2)  # as many wrong bits leave two of the blocks whole
     entries = reps.select(
         "fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for t, m in enumerate(masks)])).alias("e")
     ).select("fp", "rep", "e.t", "e.k")
@@ -186,7 +186,7 @@ def _shards(reps: DataFrame, tile: int, probe: int) -> DataFrame:
 def links(reps: DataFrame, radius: int = RADIUS, tile: int = TILE, probe: int = PROBE) -> DataFrame:
     """``src``, ``dst``: links that span the components of fingerprints within
     ``radius`` bits. ``reps`` has one row per distinct ``fp`` and its id ``rep``."""
-    shards = _shards(reps, tile, probe)
+    shards = _shards(reps, radius, tile, probe)
     dealt = shards.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "side", "fp")
 
     def run(batches):

@@ -132,6 +132,18 @@ def test_bk_search_finds_all_pairs_of_a_dense_cluster():
     assert found == {(i, j) for i in at for j in at if (fps[i] ^ fps[j]).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("radius", [0, 2, 3, 4, 6])
+def test_simhash_links_at_any_radius(spark, radius):
+    r = random.Random(radius)
+    fps = [r.getrandbits(64) for _ in range(20)]
+    fps += [x ^ sum(1 << b for b in r.sample(range(64), radius + far)) for x in fps for far in (0, 1)]
+    fps = sorted(set(fps))
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= radius]
+    reps = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(fps)], "fp long, rep long")
+    found = [(x.src, x.dst) for x in simhash.links(reps, radius).collect()]
+    assert components(len(fps), found) == components(len(fps), pairs)
+
+
 def test_simhash_corner_cases(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     docs = documents(spark, [(3, "a b c d"), (3, "a b c d"), (1, "A B C D"), (None, "a b c d"), (None, "z y x w v u"), (9, None)])
