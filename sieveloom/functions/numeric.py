@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sieveloom.sources.scratch import stored
+
 EPSILON = 1e-6
 LN2 = math.log(2)
 #: Digits that results are rounded to before they are ranked or compared.
@@ -52,11 +54,13 @@ def argsort(df: DataFrame, value: str, tie: str) -> DataFrame:
 def with_position(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Number the rows from 0 in ``order`` without sorting them in one task:
     rows are dealt by range, numbered there, and moved up by the earlier ranges'
-    sizes."""
+    sizes. The ranges follow from a sample, so the dealt rows are stored: rows and
+    sizes must come from the same ranges."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [f"__k{i}" for i in range(len(order))]
-    dealt = df.select("*", *[c.alias(k) for k, c in zip(keys, order, strict=True)]).repartitionByRange(n, *keys).withColumn("__part", F.spark_partition_id())
+    dealt = df.select("*", *[c.alias(k) for k, c in zip(keys, order, strict=True)]).repartitionByRange(n, *keys)
+    dealt = stored(dealt.withColumn("__part", F.spark_partition_id()), "position")
     within = Window.partitionBy("__part").orderBy(*keys)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     sizes = dealt.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__ahead"))

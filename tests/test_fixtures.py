@@ -241,3 +241,23 @@ def test_streams(spark, demo, tmp_path):
     assert rows(spark.table("wc"), "word", "n") == [("bad", 1), ("good", 1)]
     with pytest.raises(ValueError):
         vectorize_stream(vectorize.fit(demo), demo)
+
+
+@pytest.mark.parametrize("partitions", ["4", "8"])
+def test_positions_are_whole_over_many_rows(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        n = 20_000
+        values = [(i, float(i * 7919 % 6007)) if i % 11 else (i, None) for i in range(n)]
+        got = {r.i: r.position for r in numeric.argsort(spark.createDataFrame(values, "i long, v double").repartition(5), "v", "i").collect()}
+        order = sorted(range(n), key=lambda i: (values[i][1] is None, values[i][1] or 0.0, i))
+        assert [got[i] for i in order] == list(range(n))
+        words = spark.createDataFrame([(i, f"w{i * 31 % 9973}" if i % 3 else None) for i in range(n)], "i long, w string").repartition(3)
+        first = {}
+        for i in range(n):
+            if i % 3:
+                first.setdefault(f"w{i * 31 % 9973}", len(first))
+        assert {r.value: r.id for r in keyed.string_dictionary(words, "w", "i").collect()} == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
