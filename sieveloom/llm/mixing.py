@@ -116,10 +116,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = F.sum("source_size").over(Window.partitionBy())
     seats = goal.withColumn("seats", F.floor((total * percent + 50 * block) / (100 * block)).cast("long")).withColumn("__all", F.lit(1))
     quotas = materialize(sainte_lague(seats, ["__all"], ["source"]), "mix-quotas")
-    n_sources = quotas.count()
 
     src = quotas.select(F.col("source").alias("__source"), "source_size", (F.col("num") / F.col("den")).alias("target"), F.ceil(F.col("n_docs") / shard_docs).alias("__shards"), F.col("quota").alias("seats"))
-    small = broadcast_if_small(src, n_sources)
+    small = broadcast_if_small(src)
     placed = base.join(small, base["source"].eqNullSafe(small["__source"])).drop("__source")
     placed = placed.withColumn("__order", seeded(F.col("doc_id"), "order", seed)).withColumn("shard", seeded(F.col("doc_id"), "shard", seed) % F.col("__shards"))
     line = Window.partitionBy("source", "shard").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
