@@ -19,26 +19,30 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sieveloom.llm.common import broadcast_if_small, connected_components, materialize
+from sieveloom.llm.common import broadcast_if_small, connected_components, materialize, scratch
 from sieveloom.llm.simhash import RADIUS, block_masks
 
 SIMILARITY = 0.8
-#: Bits of each count of votes; three counts share a long.
-LANE = 21
-#: Characters up to which a line's weight (at most 49 for 15 of them) fits a lane; longer lines are counted in full width.
+#: Bits of a count of votes, and the words whose weight (at most 49 each) leaves its top bit free; longer lines are counted in chunks.
+LANE, CHUNK = 16, 668
+#: Characters up to which chunks are added up in lanes of 32 bits; votes of longer lines are counted in full width.
 HEAVY = 1 << 19
+#: Told apart by these: two lines of one fingerprint and length are one if their hashes agree.
+LINE = ["h", "fp", "size"]
 
 
-def normalized(line: Column) -> Column:
-    """Lower case, single spaces, no white space at either end."""
-    def single(low: Column) -> Column:
-        odd = low.contains("  ") | low.contains("\t") | low.contains("\r") | low.contains("\f") | low.contains("\x0b")
-        return F.trim(F.when(odd, F.regexp_replace(low, r"[ \t\r\f\x0B]+", " ")).otherwise(low))
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select(*[c for c in df.columns if c != name], value.alias(name))
 
-    # a lambda's variable is computed once
-    return F.transform(F.array(F.lower(line)), single)[0]
+
+def normalized(df: DataFrame, line: str) -> DataFrame:
+    """``df`` with ``line`` in lower case, with single spaces and no white space at
+    either end; in steps, so that each is computed once."""
+    df = _once(df, line, F.lower(line))
+    low = F.col(line)
+    odd = low.contains("  ") | low.contains("\t") | low.contains("\r") | low.contains("\f") | low.contains("\x0b")
+    return _once(df, line, F.trim(F.when(odd, F.regexp_replace(low, r"[ \t\r\f\x0B]+", " ")).otherwise(low)))
 
 
 def _weight(word: Column) -> Column:
@@ -47,45 +51,63 @@ def _weight(word: Column) -> Column:
     return (half * half).cast("long")
 
 
-def _lines(docs: DataFrame, *extra: str) -> DataFrame:
-    """``doc_id, text_key, pos, norm, h1, h2`` of every line that is not blank."""
-    every = docs.select(*extra, "doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    # on the line itself: a condition on the normalised one would compute it twice
-    every = every.where(F.col("line").rlike(r"[^ \t\r\f\x0B]")).select(*extra, "doc_id", "text_key", "pos", normalized(F.col("line")).alias("norm"))
-    return every.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), F.col("norm")).alias("h2"))
-
-
-def _majority(counts: list[Column]) -> Column:
-    """The bits whose count is more than half the weight."""
-    bits = [F.when(c * 2 > F.col("weight"), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b, c in enumerate(counts)]
+def _majority(sums: list[Column], weight: Column, lane: int) -> Column:
+    """The bits whose count is more than half the weight: sum i holds bits i,
+    i + lane, ... in a lane each, and a count c is more than half of w if
+    c + 2^(lane - 2) - 1 - w div 2 sets the last bit but one of its lane."""
+    ones = sum(1 << at for at in range(0, 64, lane))
+    room = (F.lit((1 << (lane - 2)) - 1).cast("long") - F.shiftright(weight, 1)) * F.lit(ones).cast("long")
+    bits = [F.shiftleft(F.shiftrightunsigned((x + room).bitwiseAND(F.lit(ones << (lane - 2)).cast("long")), lane - 2), i) for i, x in enumerate(sums)]
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def _fingerprints(every: DataFrame, heavy: bool) -> DataFrame:
-    """``h1, h2, first_doc, size, fp`` of each single occurrence, so that no
-    count depends on how often a line comes."""
-    words = every.select("h1", "h2", "doc_id", "occurrence", F.explode(F.split("norm", " ")).alias("word"))
-    words = words.select("h1", "h2", "doc_id", "occurrence", (F.length("word") + 1).alias("room"), F.xxhash64("word").alias("h"), _weight(F.col("word")).alias("w"))
-    if heavy:
-        sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1)) * F.col("w")).alias(f"a{b}") for b in range(64)]
-        counts = [F.col(f"a{b}") for b in range(64)]
-    else:
-        lanes = F.lit(1 | 1 << LANE | 1 << 2 * LANE).cast("long")
-        sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(lanes) * F.col("w")).alias(f"a{i}") for i in range(LANE)]
-        sums.append(F.sum(F.shiftrightunsigned("h", 63) * F.col("w")).alias("a63"))
-        counts = [F.shiftrightunsigned(f"a{b % LANE}", LANE * (b // LANE)).bitwiseAND(F.lit((1 << LANE) - 1)) for b in range(63)] + [F.col("a63")]
-    votes = words.groupBy("h1", "h2", "occurrence").agg(F.min("doc_id").alias("first_doc"), (F.sum("room") - 1).alias("size"), F.sum("w").alias("weight"), *sums)
-    return votes.select("h1", "h2", "first_doc", "size", _majority(counts).alias("fp"))
-
-
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """``line, h1, h2, fp, size, first_doc, n``: the distinct normalised lines
-    and their lengths. Two 64-bit hashes stand for a line's text."""
-    numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    every = _lines(numbered, "row").withColumn("occurrence", F.struct("row", "pos"))
-    light = _fingerprints(every.where(F.length("norm") <= HEAVY), False)
-    heavy = _fingerprints(_lines(numbered.where(F.length("text") > HEAVY), "row").where(F.length("norm") > HEAVY).withColumn("occurrence", F.struct("row", "pos")), True)
-    lines = light.union(heavy).groupBy("h1", "h2").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("first_doc").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, pos, h, fp, size`` of every line that is not blank;
+    ``doc_id`` and ``text_key``, a hash of the whole text, tell documents apart.
+
+    Votes are counted for single occurrences, so no count depends on how often a
+    line comes, and for CHUNK words at most, so none overflows; the few lines of
+    more words are put together afterwards.
+    """
+    parts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("parts"))  # below the generator: once for each text
+    every = parts.select("doc_id", "text_key", F.posexplode("parts").alias("pos", "norm"))
+    # on the line itself: a condition on the normalised one would compute it twice
+    every = normalized(every.where(F.col("norm").rlike(r"[^ \t\r\f\x0B]")), "norm")
+    # position and length in one long, as each column is carried past every word
+    own = ["doc_id", "text_key", "h", "place"]
+    place = F.shiftleft(F.col("pos").cast("long"), 32).bitwiseOR(F.length("norm").cast("long"))
+    lines = every.select(F.monotonically_increasing_id().alias("of"), "doc_id", "text_key", F.xxhash64("norm").alias("h"), place.alias("place"), F.split("norm", " ").alias("words"))
+    cut = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(CHUNK)), lambda at: F.slice("words", at, CHUNK))
+    chunks = lines.select(F.when(F.size("words") > CHUNK, F.col("of")).alias("of"), *own, F.explode(F.when(F.size("words") <= CHUNK, F.array("words")).otherwise(cut)).alias("words"))
+    # of: the line, for those of several chunks
+    chunks = chunks.select(F.monotonically_increasing_id().alias("chunk"), "of", *own, "words")
+    words = chunks.select("chunk", "of", *own, F.explode("words").alias("word")).select("chunk", "of", *own, F.xxhash64("word").alias("x"), _weight(F.col("word")).alias("w"))
+    ones = F.lit(sum(1 << at for at in range(0, 64, LANE))).cast("long")
+    names = [f"a{i}" for i in range(LANE)]
+    sums = [F.sum(F.shiftrightunsigned("x", i).bitwiseAND(ones) * F.col("w")).alias(a) for i, a in enumerate(names)]
+    votes = words.groupBy("chunk").agg(*[F.min(c).alias(c) for c in ["of", *own]], F.sum("w").alias("weight"), *sums)
+    whole = F.col("of").isNull()
+    fp = F.when(whole, _majority([F.col(a) for a in names], F.col("weight"), LANE)).alias("fp")
+    votes = materialize(votes.select("of", *own, fp, *[F.when(~whole, F.col(c)).alias(c) for c in ["weight", *names]]), "line-votes")
+    single = lambda df: df.select("doc_id", "text_key", F.shiftright("place", 32).cast("int").alias("pos"), "h", "fp", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("size"))
+    found = single(votes.where("fp IS NOT NULL"))
+    several = votes.where("fp IS NULL").withColumn("heavy", F.col("place").bitwiseAND(F.lit((1 << 32) - 1)) > HEAVY)
+    joined = None
+    for lane, part in ((32, several.where("NOT heavy")), (64, several.where("heavy"))):
+        mask = F.lit(sum(((1 << LANE) - 1) << at for at in range(0, 64, lane))).cast("long")
+        wide = [F.sum(F.shiftrightunsigned(names[i % LANE], LANE * (i // LANE)).bitwiseAND(mask)).alias(f"b{i}") for i in range(lane)]
+        part = part.groupBy("of", *own).agg(F.sum("weight").alias("weight"), *wide)
+        part = single(part.select(*own, _majority([F.col(f"b{i}") for i in range(lane)], F.col("weight"), lane).alias("fp")))
+        joined = part if joined is None else joined.union(part)
+    return found.union(materialize(joined, "line-long"))
+
+
+def distinct_lines(docs: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """``line, h, fp, size, first, n``: the distinct normalised lines with their
+    lengths and first occurrence (smallest document id, null last)."""
+    every = occurrences(docs) if every is None else every
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "pos")
+    lines = every.groupBy(*LINE).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     return materialize(lines.withColumn("line", F.monotonically_increasing_id()), "lines")
 
 
@@ -93,37 +115,49 @@ def _near(a: str, b: str, radius: int = RADIUS) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
 
 
-def _members(lines: DataFrame) -> DataFrame:
-    """``t, k, fp, low, n``: fingerprints in keys that several fingerprints share,
-    with the smallest of the key's fingerprints and their number."""
-    masks = block_masks()
-    mask = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("t"))
-    fps = lines.select("fp").distinct()
-    keyed = fps.select("fp", F.explode(F.sequence(F.lit(1), F.lit(len(masks)))).alias("t"))
-    # the key follows from (t, fp), so only these two are shuffled
-    shared = keyed.groupBy("t", F.col("fp").bitwiseAND(mask).alias("k")).agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(shared, "line-keys")
-    small = broadcast_if_small(shared.withColumnRenamed("t", "st"))
-    return materialize(keyed.join(small, (F.col("t") == F.col("st")) & (F.col("fp").bitwiseAND(mask) == F.col("k"))).select("t", "k", "fp", "low", "n"), "line-members")
+def _keyed(fps: DataFrame) -> DataFrame:
+    """``key, fp``: each fingerprint under ten keys, one for each pair of blocks.
+    Keys of different pairs differ by a constant; were two the same after all,
+    there would be more pairs to look at and none fewer."""
+    salts = [(t + 1) * 0x9E3779B97F4A7C15 % (1 << 63) for t in range(len(block_masks()))]
+    keys = [F.col("fp").bitwiseAND(F.lit(m).cast("long")).bitwiseXOR(F.lit(x).cast("long")) for m, x in zip(block_masks(), salts, strict=True)]
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _texts(docs: DataFrame, lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``line, norm``: the texts of the pairs' lines; one pass over the documents."""
-    wanted = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct().join(lines.select("line", "h1", "h2"), "line")
-    wanted = materialize(wanted, "line-wanted")
-    found = _lines(docs).select("h1", "h2", "norm").join(broadcast_if_small(wanted), ["h1", "h2"])
-    return materialize(found.groupBy("line").agg(F.min("norm").alias("norm")), "line-texts")
+def _near_keys(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``fx, fy`` of fingerprints that are near and alone with each other in a
+    key, or near the key's smallest; and ``key, fp, low``, the members of keys
+    that more than two share."""
+    fps = lines.select("fp").distinct()
+    keys = _keyed(fps).groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
+    # of two that share a key, the pair is known and mostly not near; a key of more is kept
+    keys = materialize(keys.where((F.col("n") > 2) | (F.col("n") > 1) & _near("low", "high")), "line-keys")
+    twos = keys.where("n = 2").select(F.col("high").alias("fx"), F.col("low").alias("fy"))
+    large = materialize(keys.where("n > 2").select("key", "low"), "line-large")
+    members = materialize(_keyed(fps).join(broadcast_if_small(large), "key"), "line-members")
+    return twos.union(members.where("fp <> low").where(_near("fp", "low")).select(F.col("fp").alias("fx"), F.col("low").alias("fy"))).distinct(), members
+
+
+def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``line, norm``: the texts of the ``wanted`` lines, each from its first
+    occurrence; one pass over the documents, which splits only those that hold one."""
+    wanted = wanted.distinct().join(lines.select("line", "first"), "line")
+    wanted = wanted.select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"), F.struct("line", F.col("first.pos").alias("pos")).alias("at"))
+    wanted = materialize(wanted.groupBy("__id", "__key").agg(F.collect_list("at").alias("at")), "line-wanted")
+    # rows with the same id and text are one document
+    found = docs.withColumn("key", F.xxhash64("text")).join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")))
+    parts = found.select(F.split("text", "\n").alias("parts"), "at")
+    found = parts.select(F.explode(F.transform("at", lambda s: F.struct(s["line"].alias("line"), F.get("parts", s["pos"]).alias("norm")))).alias("l")).select("l.line", "l.norm")
+    return materialize(normalized(found, "norm").groupBy("line").agg(F.min("norm").alias("norm")), "line-texts")
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, label: str) -> DataFrame:
     """Those ``pairs`` (``x``, ``y``: lines) whose texts are similar enough:
-    1 - edits / longer length >= similarity. Most that pass differ little, and
-    the work grows with the edits allowed, so few are allowed first."""
+    1 - edits / longer length >= similarity. """
     both = pairs.join(texts.select(F.col("line").alias("x"), F.col("norm").alias("a")), "x").join(texts.select(F.col("line").alias("y"), F.col("norm").alias("b")), "y")
     longer = F.greatest(F.length("a"), F.length("b"))
     both = both.withColumn("room", F.floor(longer * (1 - similarity) + 1e-9).cast("int")).where(F.abs(F.length("a") - F.length("b")) <= F.col("room"))
-    near = " OR ".join(f"levenshtein(a, b, cast({room} AS int)) >= 0" for room in ("room div 64", "room div 8", "room"))
-    return materialize(both.where(near).select(F.col("x").alias("src"), F.col("y").alias("dst")), f"{label}-links")
+    return materialize(both.where("levenshtein(a, b, room) >= 0").select(F.col("x").alias("src"), F.col("y").alias("dst")), f"{label}-links")
 
 
 def _line_pairs(fps: DataFrame, x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
@@ -137,24 +171,32 @@ def _line_pairs(fps: DataFrame, x: DataFrame, y: DataFrame, similarity: float) -
 
 def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``node, component`` of the lines that are similar to another one."""
-    members = _members(lines)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_linked(docs, lines, similarity))
+
+
+def _linked(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    near, members = _near_keys(lines)
     of = lines.select("fp", "line", "size", F.col("line").alias("c"))
     # equal fingerprints: each line with the first of them
     first = of.groupBy("fp").agg(F.min_by(F.struct("line", "size"), "line").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "f.line", "f.size", F.col("f.line").alias("c"))
+    first = materialize(first, "line-first")
     equal = _line_pairs(first.select(F.col("fp").alias("fx"), F.col("fp").alias("fy")), of, first, similarity)
-    lows = members.where(F.col("fp") != F.col("low")).where(_near("fp", "low")).select(F.col("fp").alias("fx"), F.col("low").alias("fy")).distinct()
-    a = materialize(equal.union(_line_pairs(lows, of, of, similarity)), "line-a")
-    found = _verified(_texts(docs, lines, a), a, similarity, "line-low")
+    a = materialize(equal.union(_line_pairs(near, of, of, similarity)), "line-a")
+    # whatever is compared later shares a fingerprint or a key of more than two
+    later = of.join(first.select("fp").union(members.select("fp")).distinct(), "fp", "left_semi").select("line")
+    texts = _texts(docs, lines, a.select(F.col("x").alias("line")).union(a.select("y")).union(later))
+    found = _verified(texts, a, similarity, "line-low")
     comp = connected_components(found, "line-low")
     # what is left: lines outside the component of their key's, or their fingerprint's, first line
-    labels = materialize(of.drop("c").join(comp.select(F.col("node").alias("line"), F.col("component").alias("c")), "line", "left").select("fp", "line", "size", F.coalesce("c", "line").alias("c")), "line-labels")
-    span = labels.groupBy("fp").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-    many = members.where("n > 2").join(span, "fp").join(span.select(F.col("fp").alias("low"), F.col("c0").alias("c_low")), "low")
-    many = materialize(many, "line-many")
+    some = of.drop("c").join(texts.select("line"), "line", "left_semi").join(comp.select(F.col("node").alias("line"), F.col("component").alias("c")), "line", "left")
+    labels = materialize(some.select("fp", "line", "size", F.coalesce("c", "line").alias("c")), "line-labels")
+    span = materialize(labels.groupBy("fp").agg(F.min("c").alias("c0"), F.max("c").alias("c1")), "line-span")
     # all lines of the smallest fingerprint were compared already
-    others = many.where("fp <> low")
-    outside = others.where("c0 <> c_low OR c1 <> c_low").select("t", "k", F.col("fp").alias("fx"), F.col("c0").alias("x0"), F.col("c1").alias("x1"))
-    rest = outside.join(others.select("t", "k", F.col("fp").alias("fy"), F.col("c0").alias("y0"), F.col("c1").alias("y1")), ["t", "k"])
+    others = members.where("fp <> low").join(span, "fp").join(span.select(F.col("fp").alias("low"), F.col("c0").alias("c_low")), "low")
+    others = materialize(others, "line-many")
+    outside = others.where("c0 <> c_low OR c1 <> c_low").select("key", F.col("fp").alias("fx"), F.col("c0").alias("x0"), F.col("c1").alias("x1"))
+    rest = outside.join(others.select("key", F.col("fp").alias("fy"), F.col("c0").alias("y0"), F.col("c1").alias("y1")), "key")
     rest = rest.where((F.col("fx") != F.col("fy")) & (F.least("x0", "y0") != F.greatest("x1", "y1")) & _near("fx", "fy"))
     rest = rest.select(F.least("fx", "fy").alias("fx"), F.greatest("fx", "fy").alias("fy")).distinct()
     within = span.where("c0 <> c1").select(F.col("fp").alias("fx"), F.col("fp").alias("fy"))
@@ -162,7 +204,7 @@ def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARI
     b = materialize(b.union(_line_pairs(within, labels, labels, similarity).where("x < y")), "line-b")
     if not b.limit(1).count():
         return comp
-    more = _verified(_texts(docs, lines, b), b, similarity, "line-rest")
+    more = _verified(texts, b, similarity, "line-rest")
     if not more.limit(1).count():
         return comp
     return connected_components(found.union(more), "line-all")
@@ -171,19 +213,20 @@ def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARI
 def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, text_key, dropped``: positions of the lines to drop, for each
     document that loses any."""
-    lines = distinct_lines(docs)
-    comp = linked_lines(docs, lines, similarity)
-    grouped = lines.join(comp.withColumnRenamed("node", "line"), "line")
-    # the component keeps the line that stands in the smallest document; hashes break ties
-    keeper = grouped.groupBy("component").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "h1", "h2")).alias("best")).select("component", F.col("best.h1").alias("k1"), F.col("best.h2").alias("k2"))
-    grouped = grouped.join(keeper, "component").select("h1", "h2", "first_doc", ((F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).alias("keeps"))
-    repeated = lines.where("n > 1").join(comp.select(F.col("node").alias("line")), "line", "left_anti").select("h1", "h2", "first_doc", F.lit(True).alias("keeps"))
-    rules = materialize(grouped.union(repeated), "line-rules")
-    hits = _lines(docs).select("doc_id", "text_key", "pos", "h1", "h2").join(broadcast_if_small(rules), ["h1", "h2"])
-    order = Window.partitionBy("doc_id", "text_key", "h1", "h2").orderBy("pos")
-    hits = hits.withColumn("nth", F.dense_rank().over(order))
-    lost = hits.where(~(F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("nth") == 1)))
-    return materialize(lost.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("dropped")), "line-dropped")
+    with scratch(docs.sparkSession) as keep:
+        every = occurrences(docs)
+        lines = distinct_lines(docs, every)
+        comp = linked_lines(docs, lines, similarity)
+        grouped = lines.join(comp.withColumnRenamed("node", "line"), "line")
+        # the component keeps its first occurrence
+        keeper = grouped.groupBy("component").agg(F.min("first").alias("kept"))
+        grouped = grouped.join(keeper, "component").select(*LINE, "kept")
+        repeated = lines.where("n > 1").join(comp.select(F.col("node").alias("line")), "line", "left_anti").select(*LINE, F.col("first").alias("kept"))
+        kept = [F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("doc_id", "text_key", "pos")]
+        rules = materialize(grouped.union(repeated).select(*LINE, *kept), "line-rules")
+        hits = every.join(broadcast_if_small(rules), LINE)
+        lost = hits.where(~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("text_key") == F.col("kept_text_key")) & (F.col("pos") == F.col("kept_pos"))))
+        return keep(materialize(lost.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("dropped")), "line-dropped"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -194,8 +237,9 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     document with the smallest id stays, and of several there the first; blank
     lines always stay; a null text stays null; a text all of whose lines go
     becomes empty and its row stays; rows with the same id and text count as one
-    document and keep the same lines; rows with a null id keep a line only if no
-    row with an id has it; other columns are carried; an empty table stays empty.
+    document and keep the same lines; of several texts of one id the one with the
+    smallest hash comes first; rows with a null id keep a line only if no row with
+    an id has it; other columns are carried; an empty table stays empty.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     lost = decide(base, similarity).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("dropped").alias("__lost"))
