@@ -28,6 +28,8 @@ SIMILARITY = 0.8
 LANE, CHUNK = 16, 668
 #: Characters up to which chunks are added up in lanes of 32 bits; votes of longer lines are counted in full width.
 HEAVY = 1 << 19
+#: Two texts are compared in pieces of about STRIDE characters that begin where PROBE characters are the same.
+STRIDE, PROBE = 64, 12
 #: Told apart by these: two lines of one fingerprint and length are one if their hashes agree.
 LINE = ["h", "fp", "size"]
 
@@ -151,13 +153,45 @@ def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(normalized(found, "norm").groupBy("line").agg(F.min("norm").alias("norm")), "line-texts")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``; a lambda's variable is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _in_pieces(a: str, b: str, room: str) -> Column:
+    """Edits that turn ``a`` into ``b`` piece by piece: never fewer than are
+    needed, and far more than ``room`` if one piece takes more. Both are cut where
+    PROBE characters of ``a`` come next in ``b``. Equal pieces cost nothing, so near
+    copies take time in proportion to their length."""
+    size, far = F.length(a), F.lit(1 << 29)
+
+    def edits(x: Column, y: Column) -> Column:
+        differ = lambda s: F.call_function("levenshtein", s["x"], s["y"], F.col(room))
+        return _let(F.struct(x.alias("x"), y.alias("y")), lambda s: F.when(s["x"] == s["y"], 0).otherwise(_let(differ(s), lambda n: F.when(n < 0, far).otherwise(n))))
+
+    def cut(at: Column, pos: Column) -> Column:
+        ahead = pos - at["x"]
+        slack = F.greatest(F.lit(STRIDE), ahead)  # what lies between may have grown or shrunk
+        probe, want = F.call_function("substring", F.col(a), pos, F.lit(PROBE)), at["y"] + ahead
+        there = F.when(F.call_function("substring", F.col(b), want, F.lit(PROBE)) == probe, want).otherwise(F.call_function("locate", probe, F.col(b), F.greatest(at["y"], want - slack)))
+        piece = lambda to: edits(F.call_function("substring", F.col(a), at["x"], ahead), F.call_function("substring", F.col(b), at["y"], to - at["y"]))
+        moved = lambda to: F.struct(pos.alias("x"), to.alias("y"), F.least(at["n"] + piece(to), far).alias("n"))
+        return _let(there, lambda to: F.when((to > 0) & (to <= want + slack) & (at["n"] <= F.col(room)), moved(to)).otherwise(at))
+
+    rest = lambda at: F.when(at["n"] > F.col(room), at["n"]).otherwise(F.least(at["n"] + edits(F.call_function("substring", F.col(a), at["x"], size), F.call_function("substring", F.col(b), at["y"], F.length(b))), far))
+    cuts = F.when(size > 2 * STRIDE, F.sequence(F.lit(1 + STRIDE), size - PROBE, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(cuts, F.struct(F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(0).alias("n")), cut, rest)
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, label: str) -> DataFrame:
     """Those ``pairs`` (``x``, ``y``: lines) whose texts are similar enough:
-    1 - edits / longer length >= similarity. """
+    1 - edits / longer length >= similarity. Pairs that are near enough piece by
+    piece pass at once; the edit distance of the whole texts decides on all others."""
     both = pairs.join(texts.select(F.col("line").alias("x"), F.col("norm").alias("a")), "x").join(texts.select(F.col("line").alias("y"), F.col("norm").alias("b")), "y")
     longer = F.greatest(F.length("a"), F.length("b"))
     both = both.withColumn("room", F.floor(longer * (1 - similarity) + 1e-9).cast("int")).where(F.abs(F.length("a") - F.length("b")) <= F.col("room"))
-    return materialize(both.where("levenshtein(a, b, room) >= 0").select(F.col("x").alias("src"), F.col("y").alias("dst")), f"{label}-links")
+    near = (_in_pieces("a", "b", "room") <= F.col("room")) | (F.call_function("levenshtein", F.col("a"), F.col("b"), F.col("room")) >= 0)
+    return materialize(both.where(near).select(F.col("x").alias("src"), F.col("y").alias("dst")), f"{label}-links")
 
 
 def _line_pairs(fps: DataFrame, x: DataFrame, y: DataFrame, similarity: float) -> DataFrame:
