@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveloom.llm.common import broadcast_if_small, materialize
+from sieveloom.llm.common import broadcast_if_small, materialize, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -95,20 +95,26 @@ def sainte_lague(votes: DataFrame, group: list[str], keys: list[str]) -> DataFra
     return v.join(right, same, "left").select(*votes.columns, (F.col("__sure") + F.coalesce("__won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, percent: int = PERCENT, cap: int = CAP, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED, key: Column | None = None) -> DataFrame:
     """What the mix takes of every document.
 
     Returns ``doc_id, size, source_size, target, taken`` and the places that
     were taken: ``whole`` (times the whole document is taken) and the word
-    intervals ``[a0, a1)`` and ``[b0, b1)`` that are taken once more; with
-    ``carry`` also the input row as the struct ``__row``.
+    intervals ``[a0, a1)`` and ``[b0, b1)`` that are taken once more; with ``key``,
+    a long, also that as ``__key``.
+    Blocks have ``block`` words, and fewer in a corpus of less than ``BLOCKS`` of
+    them, where whole blocks would be too coarse for the targets.
     Defined results: a null or wordless text has size 0 and nothing taken; the
     null source is a source, last in order; repeated rows are documents of their
-    own; null ids are in order like others; an empty table gives no rows. The
-    same rows give the same result in any order and partitioning.
+    own; null ids come first in a shard, which a hash of their text tells; an empty
+    table gives no rows. The same rows give the same result in any order and
+    partitioning; which of several rows with the same id and size has which share
+    is settled by ``key``, where it is given.
     """
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *row)
+    narrow = [] if key is None else [key.alias("__key")]
+    # only rows without an id need their text's hash: one shard could not hold them all
+    spare = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 31))).alias("__spare")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), spare, *narrow)
     base = materialize(base, "mix-sizes")
     per_source = materialize(base.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size")), "mix-sources")
     block = max(1, min(block, int(per_source.agg(F.sum("source_size")).first()[0] or 0) // BLOCKS))
@@ -120,8 +126,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     src = quotas.select(F.col("source").alias("__source"), "source_size", (F.col("num") / F.col("den")).alias("target"), F.ceil(F.col("n_docs") / shard_docs).alias("__shards"), F.col("quota").alias("seats"))
     small = broadcast_if_small(src)
     placed = base.join(small, base["source"].eqNullSafe(small["__source"])).drop("__source")
-    placed = placed.withColumn("__order", seeded(F.col("doc_id"), "order", seed)).withColumn("shard", seeded(F.col("doc_id"), "shard", seed) % F.col("__shards"))
-    line = Window.partitionBy("source", "shard").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("__order", seeded(F.col("doc_id"), "order", seed)).withColumn("shard", F.coalesce("__spare", seeded(F.col("doc_id"), "shard", seed)) % F.col("__shards"))
+    line = Window.partitionBy("source", "shard").orderBy("__order", "doc_id", "size", *[] if key is None else ["__key"]).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("__end", F.sum("size").over(line))
 
     shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("num"), F.first("seats").alias("seats"))
@@ -141,21 +147,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     clip = lambda x: F.greatest(F.lit(0), F.least(x - begin, size)).cast("long")
     both = both.withColumn("a0", clip(F.lit(0))).withColumn("a1", clip(F.col("__wrap"))).withColumn("b0", clip(F.col("__lo"))).withColumn("b1", clip(F.col("__hi")))
     taken = F.col("__whole") * size + F.col("a1") - F.col("a0") + F.greatest(F.col("b1") - F.col("b0"), F.lit(0))
-    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("__whole").alias("whole"), "a0", "a1", "b0", "b1", *(["__row"] if carry else []))
+    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("__whole").alias("whole"), "a0", "a1", "b0", "b1", *([] if key is None else ["__key"]))
 
 
-def apply_mix(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+def apply_mix(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", id_col: str = "doc_id", **options) -> DataFrame:
     """The mixed documents: ``docs``' rows as often as the mix takes them whole,
     and once more with the words of a part that it takes; all columns stay, the
-    text and, where there is one, its length are those of the part."""
-    mixed = mix(docs, text_col=text_col, carry=True, **options)
+    text and, where there is one, its length are those of the part.
+
+    Shares are settled on narrow rows; texts then move once, to their shares. Rows
+    that are the same in all columns are one text to all of these rows' shares.
+    """
+    kinds = dict(docs.dtypes)
+    key = F.xxhash64(*[F.to_json(F.col(f"`{c}`")) if "map<" in kinds[c] else F.col(f"`{c}`") for c in docs.columns])
+    with scratch(docs.sparkSession) as keep:
+        shares = mix(docs, id_col, text_col, key=key, **options).select(F.col("doc_id").alias("__id"), "__key", "size", "whole", "a0", "a1", "b0", "b1", "taken")
+        shares = keep(materialize(shares, "mix-shares"))
+        several = keep(materialize(shares.groupBy("__id", "__key").count().where("count > 1").select("__id", "__key"), "mix-several"))
+    same = lambda x, y: x["__id"].eqNullSafe(y["__id"]) & (x["__key"] == y["__key"])
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), key.alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    taken = shares.where("taken > 0")
+    names = ["__row", "size", "whole", "a0", "a1", "b0", "b1"]
+
+    def give(x: DataFrame, y: DataFrame) -> DataFrame:
+        y = y.withColumnsRenamed({"__id": "__of", "__key": "__at"})
+        return x.join(y, x["__id"].eqNullSafe(y["__of"]) & (x["__key"] == y["__at"])).select(*names)
+
+    if several.limit(1).count():
+        few = broadcast_if_small(several)
+        once = rows.join(few, same(rows, few), "left_semi").groupBy("__id", "__key").agg(F.first("__row").alias("__row"))
+        again = give(once, taken.join(few, same(taken, few), "left_semi"))
+        mixed = give(rows.join(few, same(rows, few), "left_anti"), broadcast_if_small(taken.join(few, same(taken, few), "left_anti"))).union(again)
+    else:
+        mixed = give(rows, broadcast_if_small(taken))
     text = F.col(f"__row.`{text_col}`")
     rest = F.col("a1") - F.col("a0") + F.greatest(F.col("b1") - F.col("b0"), F.lit(0))
     words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), 0)
     cut = lambda lo, hi: F.slice(words, (F.col(lo) + 1).cast("int"), F.greatest(F.col(hi) - F.col(lo), F.lit(0)).cast("int"))
     part = F.when(rest == F.col("size"), text).otherwise(F.array_join(F.concat(cut("a0", "a1"), cut("b0", "b1")), ""))
     copies = F.concat(F.array_repeat(F.lit(True), F.col("whole").cast("int")), F.when(rest > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    out = mixed.where("taken > 0").select("*", F.explode(copies).alias("__full")).withColumn("__text", F.when(F.col("__full"), text).otherwise(part))
+    out = mixed.select("*", F.explode(copies).alias("__full")).withColumn("__text", F.when(F.col("__full"), text).otherwise(part))
     columns = {c: F.col(f"__row.`{c}`") for c in docs.columns} | {text_col: F.col("__text")}
     if chars_col in columns:
         columns[chars_col] = F.length("__text").cast(docs.schema[chars_col].dataType)
