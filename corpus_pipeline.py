@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveloom.llm import line_dedup, mixing, packing, simhash, toxicity
-from sieveloom.llm.common import materialize
+from sieveloom.llm.common import drop, materialize, scratch
 from sieveloom.llm.queries import tokenizer_path
 
 
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is stored and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is stored and read again, and
+    what the stages before it wrote goes."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as keep:
+            docs = keep(materialize(stage(spark, before, sf_dir), f"stage-{name}"))
+        drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
