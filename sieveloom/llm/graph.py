@@ -1,4 +1,4 @@
-"""Small in-task graph helpers (numpy)."""
+"""Small helpers inside tasks: components (numpy) and short batches."""
 
 from __future__ import annotations
 
@@ -21,3 +21,10 @@ def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray
                 break
             labels = up
     return labels
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of few rows, so that a Python worker holds few long texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -126,18 +126,19 @@ def _keyed(fps: DataFrame) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _near_keys(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _near_keys(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``fx, fy`` of fingerprints that are near and alone with each other in a
     key, or near the key's smallest; and ``key, fp, low``, the members of keys
     that more than two share."""
-    fps = lines.select("fp").distinct()
+    fps = fps.select("fp")
     keys = _keyed(fps).groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count(F.lit(1)).alias("n"))
     # of two that share a key, the pair is known and mostly not near; a key of more is kept
     keys = materialize(keys.where((F.col("n") > 2) | (F.col("n") > 1) & _near("low", "high")), "line-keys")
     twos = keys.where("n = 2").select(F.col("high").alias("fx"), F.col("low").alias("fy"))
     large = materialize(keys.where("n > 2").select("key", "low"), "line-large")
     members = materialize(_keyed(fps).join(broadcast_if_small(large), "key"), "line-members")
-    return twos.union(members.where("fp <> low").where(_near("fp", "low")).select(F.col("fp").alias("fx"), F.col("low").alias("fy"))).distinct(), members
+    near = twos.union(members.where("fp <> low").where(_near("fp", "low")).select(F.col("fp").alias("fx"), F.col("low").alias("fy"))).distinct()
+    return materialize(near, "line-near"), members
 
 
 def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -210,16 +211,21 @@ def linked_lines(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARI
 
 
 def _linked(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    near, members = _near_keys(lines)
-    of = lines.select("fp", "line", "size", F.col("line").alias("c"))
+    fps = materialize(lines.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "line-fps")
+    near, members = _near_keys(fps)
+    # whatever is compared shares a fingerprint, is a near pair's or shares a key of more than two
+    several = fps.where("n > 1").select("fp")
+    some = near.select(F.col("fx").alias("fp")).union(near.select("fy")).union(several).union(members.select("fp")).distinct()
+    some = materialize(some, "line-some")
+    some = materialize(lines.join(broadcast_if_small(some), "fp").select("fp", "line", "size", "first"), "line-compared")
+    of = some.select("fp", "line", "size", F.col("line").alias("c"))
     # equal fingerprints: each line with the first of them
     first = of.groupBy("fp").agg(F.min_by(F.struct("line", "size"), "line").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "f.line", "f.size", F.col("f.line").alias("c"))
-    first = materialize(first, "line-first")
     equal = _line_pairs(first.select(F.col("fp").alias("fx"), F.col("fp").alias("fy")), of, first, similarity)
     a = materialize(equal.union(_line_pairs(near, of, of, similarity)), "line-a")
-    # whatever is compared later shares a fingerprint or a key of more than two
-    later = of.join(first.select("fp").union(members.select("fp")).distinct(), "fp", "left_semi").select("line")
-    texts = _texts(docs, lines, a.select(F.col("x").alias("line")).union(a.select("y")).union(later))
+    # lines to compare now, and those that may have to be compared later
+    later = of.join(several.union(members.select("fp")).distinct(), "fp", "left_semi").select("line")
+    texts = _texts(docs, some, a.select(F.col("x").alias("line")).union(a.select("y")).union(later))
     found = _verified(texts, a, similarity, "line-low")
     comp = connected_components(found, "line-low")
     # what is left: lines outside the component of their key's, or their fingerprint's, first line
@@ -251,11 +257,12 @@ def decide(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         every = occurrences(docs)
         lines = distinct_lines(docs, every)
         comp = linked_lines(docs, lines, similarity)
-        grouped = lines.join(comp.withColumnRenamed("node", "line"), "line")
+        comp = broadcast_if_small(comp.withColumnRenamed("node", "line"))
+        grouped = lines.join(comp, "line")
         # the component keeps its first occurrence
         keeper = grouped.groupBy("component").agg(F.min("first").alias("kept"))
         grouped = grouped.join(keeper, "component").select(*LINE, "kept")
-        repeated = lines.where("n > 1").join(comp.select(F.col("node").alias("line")), "line", "left_anti").select(*LINE, F.col("first").alias("kept"))
+        repeated = lines.where("n > 1").join(comp, "line", "left_anti").select(*LINE, F.col("first").alias("kept"))
         kept = [F.col(f"kept.{c}").alias(f"kept_{c}") for c in ("doc_id", "text_key", "pos")]
         rules = materialize(grouped.union(repeated).select(*LINE, *kept), "line-rules")
         hits = every.join(broadcast_if_small(rules), LINE)

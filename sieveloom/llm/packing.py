@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sieveloom.llm import graph
 from sieveloom.llm.common import materialize
+from sieveloom.llm.graph import slices
 
 MAX_LEN = 2048
 END_ID = 1
@@ -105,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         words = word_ids(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list] = [[], [], [], [], []]
             kept = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -204,3 +206,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, max_len: int = MAX_LEN,
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(graph)

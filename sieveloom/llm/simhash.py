@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from sieveloom.llm import graph
 from sieveloom.llm.common import broadcast_if_small, connected_components, materialize
-from sieveloom.llm.graph import merge_labels
+from sieveloom.llm.graph import merge_labels, slices
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wordless text has fingerprint 0."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 

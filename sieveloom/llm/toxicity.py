@@ -16,6 +16,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveloom.llm import graph
+from sieveloom.llm.graph import slices
+
 #: Categories in chain order; the last one decides.
 CHAIN = ("low_quality", "toxic")
 #: Labelled rows that the models are fitted on, at most: those of smallest seeded hash.
@@ -43,7 +46,7 @@ def _words(text: str | None) -> set[str]:
 class Seen:
     """Words that were looked at, and the features of those that have any."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 120_000):
         self.words: set[str] = set()
         self.features: dict[str, tuple[str, ...]] = {}
         self.limit = limit
@@ -175,8 +178,9 @@ def _logit(p: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = FEATURES, seed: int = SEED) -> Chain:
     """Fit the chain on at most ``rows`` labelled documents: those with the
     smallest seeded hash of their id. Rows with a null id, label or text, and
-    ids labelled twice with different values, are not trained on; without
-    labelled rows every probability is 0.5."""
+    ids labelled twice with different values, are not trained on; an id that comes
+    with several texts counts once, with the smallest of them; without labelled
+    rows every probability is 0.5."""
     y = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("quality_1"), F.min("toxic").alias("toxic"), F.max("toxic").alias("toxic_1")
     ).where("quality = quality_1 AND toxic = toxic_1").select(F.col("doc_id").alias("__id"), (F.col("quality") == 0).cast("int").alias("low_quality"), (F.col("toxic") == 1).cast("int").alias("toxic"))
@@ -184,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
     # labelled ids that exist, bounded before any text moves
     chosen = y.join(docs.select(F.col("doc_id").alias("__id")).distinct(), "__id", "left_semi").orderBy(order, "__id").limit(rows)
     d = docs.where("text IS NOT NULL").select("doc_id", "text")
-    got = d.join(F.broadcast(chosen), d["doc_id"] == chosen["__id"]).select("doc_id", *CHAIN, "text")
+    # a row for each id, however often the id comes
+    got = d.join(F.broadcast(chosen), d["doc_id"] == chosen["__id"]).groupBy("doc_id", *CHAIN).agg(F.min("text").alias("text"))
     feats = got.mapInArrow(_featurize, "doc_id long, low_quality int, toxic int, words array<string>").toArrow().sort_by("doc_id")
     texts = [" ".join(x) for x in feats.column("words").to_pylist()]
     y = np.stack([feats.column(c).to_numpy() for c in CHAIN], axis=1) if len(texts) else np.zeros((0, len(CHAIN)))
@@ -193,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features:
 
 def _featurize(batches):
     """Texts as their distinct words: what the models read, and no more."""
-    for batch in batches:
+    for batch in slices(batches):
         words = [sorted(w for w in _words(x) if w) for x in batch.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "low_quality", "toxic", "words"])
 
@@ -209,7 +214,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: s
 
     def run(batches):
         seen = Seen()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             p = np.round(sent.value.score(texts, seen), 6)
             toxic = (p[:, -1] >= threshold) & np.array([bool(x and x.strip()) for x in texts], bool)
@@ -226,7 +231,7 @@ def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> D
 
     def run(batches):
         seen = Seen()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(at).to_pylist()
             keep = [not (p >= threshold and x and x.strip()) for p, x in zip(np.round(sent.value.score(texts, seen)[:, -1], 6), texts, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
@@ -235,3 +240,4 @@ def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> D
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(graph)

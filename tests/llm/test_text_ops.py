@@ -243,6 +243,46 @@ def test_fingerprints_of_heavy_and_common_lines(spark):
     assert got == {len(x): (line_fp(x), n) for x, n in ((common, 48), (heavy, 1), ("short one", 1))}
 
 
+def test_reversed_lines_lose_no_link(spark):
+    r = random.Random(21)
+    lines = []
+    for _ in range(20):
+        words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9))) for _ in range(14)]
+        back = words[::-1]
+        swapped = [*back[:5], back[6], back[5], *back[7:]]
+        lines += [" ".join(x) for x in (words, back, swapped)]
+        assert len({line_fp(x) for x in lines[-3:]}) == 1 and similarity(lines[-2], lines[-1]) >= 0.8 > similarity(lines[-3], lines[-2])
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(documents(spark, list(enumerate(lines)))).collect()}
+    assert got == {i: "" if i % 3 == 2 else x for i, x in enumerate(lines)}
+
+
+def test_many_equal_lines_in_one_text_and_many_null_ids(spark):
+    line = "the same line of some length, which comes again and again " * 5
+    many = "\n".join([line.strip()] * 5_000)
+    docs = documents(spark, [(1, many), (2, "its own line\n" + line.strip()), *[(None, f"null text number {i}\n" + line.strip()) for i in range(5_000)]])
+    got = line_dedup.dedup_lines(docs)
+    assert {x.doc_id: x.text for x in got.where("doc_id IS NOT NULL").collect()} == {1: line.strip(), 2: "its own line"}
+    assert got.where("doc_id IS NULL AND contains(text, 'again')").count() == 0 and got.count() == 5_002
+
+
+def test_piecewise_edits_are_never_too_few(spark):
+    r = random.Random(31)
+    pairs = []
+    for n in (1, 40, 200, 300, 900):
+        for kind in range(6):
+            a = [r.choice(["the", "of", "thor", "andinn", *["".join(r.choice("abcdé") for _ in range(r.randrange(2, 9))) for _ in range(3)]]) for _ in range(n)]
+            b = list(a)
+            for _ in range(kind):
+                at = r.randrange(len(b) + 1)
+                b[at : at + r.randrange(2)] = r.choice([[], ["new"], ["thor"] * 20])
+            pairs.append((" ".join(a), " ".join(b)))
+    pairs += [("thor " * 300, "tho " * 300), ("", ""), ("x" * 400, "x" * 380)]
+    frame = spark.createDataFrame([(a, b, int(max(len(a), len(b)) * 0.2)) for a, b in pairs], "a string, b string, room int")
+    got = frame.select("a", "b", "room", line_dedup._in_pieces("a", "b", "room").alias("n"), F.levenshtein("a", "b").alias("whole")).collect()
+    assert all(x.n >= x.whole for x in got)
+    assert sum(x.n <= x.room for x in got) > 20
+
+
 # ---- mixing ---------------------------------------------------------------------------
 
 
@@ -289,6 +329,20 @@ def test_applied_mix_holds_the_taken_words(spark):
     assert out.columns == frame.columns and words == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    r = random.Random(14)
+    long = lambda i: " ".join(f"t{i}w{k}" for k in range(r.randrange(1, 90)))
+    docs = [(None, long(i)) for i in range(300)] + [(7, f"{a} {b} {c}") for a in "abcd" for b in "efgh" for c in "ij"] + [(9, "the same row")] * 40
+    frame = documents(spark, docs)
+    mixed = mixing.mix(frame, shard_docs=64)
+    assert mixed.count() == len(docs)
+    size, target = sum(x.size for x in mixed.collect()), mixed.agg(F.max("target")).first()[0]
+    assert abs(mixed.agg(F.sum("taken")).first()[0] - target) <= 0.05 * target and target == 1.5 * size
+    out = rows(mixing.apply_mix(frame, shard_docs=64))
+    assert out == rows(mixing.apply_mix(frame.repartition(9).orderBy(F.desc("text")), shard_docs=64))
+    assert sum(len(x[1].split()) for x in out) == mixed.agg(F.sum("taken")).first()[0]
+
+
 def test_sainte_lague_equals_brute_force(spark):
     r = random.Random(8)
     votes = [(g, k, r.choice([0, 1, 5, r.randrange(1000)]), 1, seats) for g, seats in (("a", 7), ("b", 500), ("c", 0), ("d", 33)) for k in range(9)]
@@ -350,6 +404,14 @@ def test_words_are_cut_as_the_tokenizer_cuts_them():
             assert words.encode(text) == whole(text), repr(text)
 
 
+def test_every_code_point_gives_the_tokenizers_ids():
+    words = packing.WordIds(tokenizer_path())
+    texts = [t for c in range(0x3001) for t in (chr(c), f"ab{chr(c)}cd")]
+    whole = words.tokenizer.encode_batch(texts, add_special_tokens=False)
+    wrong = [t for t, e in zip(texts, whole, strict=True) if words.encode(t) != np.array(e.ids, "<u4").tobytes()]
+    assert not wrong
+
+
 def test_histogram_packing_uses_it_up_and_pads_little():
     r = random.Random(1)
     counts = Counter(min(2048, int(r.expovariate(1 / 300)) + 1) for _ in range(50000))
