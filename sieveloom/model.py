@@ -120,6 +120,18 @@ class Relation:
         return Sparse(self.name, scalars, self.rows(), self.scalar_entries(), at)
 
 
+#: Rows of a table of attributes, a name and a few numbers each, that are broadcast at most.
+BROADCAST_ATTRIBUTES = 100_000
+
+
+def broadcast_if_few(attributes: DataFrame) -> DataFrame:
+    """Mark a table with a row for each attribute for broadcast, if it is small
+    enough; entries then need not be shuffled by attribute, where common words are
+    large groups."""
+    few = attributes.limit(BROADCAST_ATTRIBUTES + 1).count() <= BROADCAST_ATTRIBUTES
+    return F.broadcast(attributes) if few else attributes
+
+
 @dataclass(frozen=True)
 class Sparse:
     """A sparse relation.
@@ -162,7 +174,7 @@ class Sparse:
     def displayed(self) -> DataFrame:
         """Entries with ``shown``: the label of a nominal value, else the attribute's name."""
         labels = [(i, float(j), label) for i, a in enumerate(self.attributes) if a.is_nominal for j, label in enumerate(a.labels)]
-        names = self.attribute_table().select("attr_idx", "name")
+        names = broadcast_if_few(self.attribute_table().select("attr_idx", "name"))
         spark = self.entries.sparkSession
         table = spark.createDataFrame(labels or [(-1, 0.0, "")], "attr_idx int, value double, label string")
         out = self.entries.join(F.broadcast(table), ["attr_idx", "value"], "left").join(names, "attr_idx")

@@ -51,11 +51,17 @@ def cross_validate(data: Sparse, k: int, seed: int, ranker: Ranker | None = None
     ranking is, not how well it generalises.
     """
     ranker = ranker or Ranker()
-    dealt = folds(data.rows, k, seed)
-    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("test_fold"))
-    rows = dealt.select("row_id", "cls", "weight", F.explode(others).alias("fold"))
-    entries = data.entries.join(rows.select("row_id", "fold"), "row_id")
-    gains = info_gain(data, missing_merge, by=("fold",), rows=rows, entries=entries)
+    dealt = folds(data.rows, k, seed).select("row_id", "cls", "weight", "test_fold")
+    entries = data.entries.join(dealt.select("row_id", "test_fold"), "row_id")
+
+    def training(cells: DataFrame) -> DataFrame:
+        """Cells of each fold's training rows: those of all other test blocks."""
+        others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col("test_fold"))
+        each = cells.select(F.explode(others).alias("fold"), "attr_idx", "value_idx", "cls", "weight")
+        return each.groupBy("fold", "attr_idx", "value_idx", "cls").agg(F.sum("weight").alias("weight"))
+
+    numbers = data.rows.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
+    gains = info_gain(data, missing_merge, by=("test_fold",), rows=dealt, entries=entries, regroup=training, groups=numbers)
     ranked = ranker.rank(gains, ("fold",))
     merit, rank = F.col("merit"), F.col("rank")
     out = ranked.groupBy("attr_idx").agg(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark import StorageLevel
@@ -28,7 +29,7 @@ def contingency(entries: DataFrame, rows: DataFrame, attributes: DataFrame, by:
     """
     keys = [*by, "attr_idx"]
     stored = entries.where("value IS NULL OR value <> 0").groupBy(*keys, F.col("value").cast("int").alias("value_idx"), "cls").agg(F.sum("weight").alias("weight"))
-    stored = stored.persist(StorageLevel.MEMORY_AND_DISK)  # no larger than the result, read twice
+    # both read the same exchange of partial sums
     taken = stored.groupBy(*keys, "cls").agg(F.sum("weight").alias("taken"))
     hist = class_histogram(rows, by)
     grid = attributes.select("attr_idx").crossJoin(F.broadcast(hist))  # attributes times classes (and folds): a cell each, as in the result
@@ -76,11 +77,13 @@ def entropies(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return flat.select(*keys, h.alias("h_class"), hc.alias("h_conditional"), (h - hc).alias("gain"))
 
 
-def info_gain(data: Sparse, missing_merge: bool = True, binarize_numeric: bool = True, by: tuple[str, ...] = (), rows: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
+def info_gain(data: Sparse, missing_merge: bool = True, binarize_numeric: bool = True, by: tuple[str, ...] = (), rows: DataFrame | None = None, entries: DataFrame | None = None, regroup: Callable[[DataFrame], DataFrame] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """``by, attr_idx, gain``, rounded to 9 digits, of every attribute but the class.
 
     Numeric attributes are binarized first; without that their gain is 0, as
-    they are not discretized. ``rows`` and ``entries`` can be given by fold.
+    they are not discretized. ``rows`` and ``entries`` can be given with the columns
+    ``by``; ``regroup`` turns their cells into those of the final ``by``, of which
+    ``groups`` then has the values.
     """
     if data.class_index < 0:
         raise ValueError("information gain needs a class attribute")
@@ -92,7 +95,10 @@ def info_gain(data: Sparse, missing_merge: bool = True, binarize_numeric: bool =
         own = own.where(F.col("attr_idx").isin([i for i, a in enumerate(data.attributes) if a.is_nominal]))
     base_rows = data.rows if rows is None else rows
     # as many cells as attributes times values times classes, read by every step below
-    cells = contingency(own, base_rows, scored, by).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = contingency(own, base_rows, scored, by)
+    if regroup is not None:
+        cells, by = regroup(cells), tuple(groups.columns)
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     if not missing_merge:
         cells = separate_missing(cells)
     elif cells.where("value_idx IS NULL OR cls IS NULL").limit(1).count():  # else there is nothing to spread
@@ -100,6 +106,6 @@ def info_gain(data: Sparse, missing_merge: bool = True, binarize_numeric: bool =
     gains = entropies(cells, by)
     ids = table.select("attr_idx")
     if by:
-        ids = ids.crossJoin(F.broadcast(base_rows.select(*by).distinct()))
+        ids = ids.crossJoin(F.broadcast(base_rows.select(*by).distinct() if groups is None else groups))
     out = ids.join(gains, [*by, "attr_idx"], "left")
     return out.select(*by, "attr_idx", F.round(F.coalesce("gain", F.lit(0.0)), DIGITS).alias("gain"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sieveloom.model import Relation, Sparse
+from sieveloom.model import Relation, Sparse, broadcast_if_few
 from sieveloom.operators.infogain import info_gain
 from sieveloom.operators.rank import Ranker
 
@@ -42,6 +43,7 @@ class AttributeSelection:
         """``row_id, weight, new_idx, value``: the original values of the kept
         attributes, renumbered; zeros go, missing values stay."""
         chosen = self.selected(data) if selected is None else selected
+        chosen = broadcast_if_few(chosen.persist(StorageLevel.MEMORY_AND_DISK))  # counted and joined: ranked once
         return data.entries.join(chosen, "attr_idx").where("value IS NULL OR value <> 0").select("row_id", "weight", "new_idx", "value")
 
     def schema(self, data: Sparse, selected: DataFrame | None = None) -> DataFrame:

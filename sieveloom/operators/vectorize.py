@@ -125,8 +125,10 @@ class VectorModel:
         each = self._values(data)
         if not self.params.normalize:
             return each
-        norm = each.groupBy("row_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-        out = each.join(norm, "row_id").crossJoin(F.broadcast(self.average))  # one row
+        # a row's values and their norm come from one grouping, so texts are cut once
+        entry = F.struct("cls", "weight", "attr_idx", "value")
+        rows = each.groupBy("row_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.collect_list(entry).alias("entries"))  # as many as a row has words
+        out = rows.select("row_id", "norm", F.explode("entries").alias("e")).select("row_id", "norm", "e.*").crossJoin(F.broadcast(self.average))  # one row
         # a word that every row has is worth nothing: zero entries go
         return out.select("row_id", "cls", "weight", "attr_idx", (F.col("value") * F.col("avg_len") / F.nullif("norm", F.lit(0.0))).alias("value")).where("value IS NOT NULL AND value <> 0")
 
@@ -173,5 +175,6 @@ def fit(data: Relation, params: VectorParams | None = None) -> VectorModel:
 
 
 def _fits(words: DataFrame) -> bool:
-    """Whether the vocabulary, ties included, is small enough to broadcast."""
+    """Whether the vocabulary, ties included, is small enough to broadcast: a row
+    holds a word of the texts and three numbers."""
     return words.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
