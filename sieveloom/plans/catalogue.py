@@ -518,3 +518,56 @@ _BINARY = f"{_vocabulary()}, {_values(False, False, False)}, {_ALL}, txt AS (SEL
 @query(f"{_BINARY} SELECT row_id, '{{' || string_agg(t, ',' ORDER BY attr_idx) || '}}' AS line FROM txt GROUP BY row_id")
 def arff_sparse_export(spark, sf_dir):
     return arff.sparse_lines(vectors(spark, sf_dir, tf=False, idf=False))
+
+
+@query("SELECT o_orderstatus, o_orderpriority FROM orders")
+def arff_roundtrip_sparse(spark, sf_dir):
+    from sieveloom.sources.scratch import scratch_path
+
+    path = scratch_path(spark, "arff-sparse")
+    arff.write_sparse(nominal(spark, sf_dir, "orders").sparse(), path)
+    return arff.read_arff(spark, path, "o_orderstatus").frame.drop("row_id")
+
+
+# ---- schemas, missing classes, no class --------------------------------------------------------
+
+_SCHEMA = "SELECT 0 AS attr_idx, 'quality' AS name, 'nominal' AS kind UNION ALL SELECT 1, 'lang', 'nominal' UNION ALL SELECT 2, 'n_chars', 'numeric'"
+
+
+@query(f"{_vocabulary()} {_SCHEMA} UNION ALL SELECT attr_idx, word, 'numeric' FROM dict")
+def vec_schema(spark, sf_dir):
+    return vectors(spark, sf_dir).attribute_table()
+
+
+@query(f"{_vocabulary()} SELECT 0 AS attr_idx, 'quality' AS name UNION ALL SELECT 1, 'lang' UNION ALL SELECT 2, 'n_chars_binarize' UNION ALL SELECT attr_idx, word || '_binarize' FROM dict")
+def binarize_schema(spark, sf_dir):
+    return binarize.binarize(vectors(spark, sf_dir)).attribute_table().select("attr_idx", "name")
+
+
+@query(
+    f"WITH {_D}, e AS (SELECT CASE WHEN row_id % 5 = 0 THEN NULL ELSE cls END AS cls, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'fr' THEN 3 END AS v FROM d), "
+    "n AS (SELECT v AS value_idx, cls, count(*)::DOUBLE AS n FROM e WHERE v IS NOT NULL AND cls IS NOT NULL GROUP BY ALL), "
+    "r AS (SELECT v AS value_idx, count(cls)::DOUBLE AS r, (count(*) - count(cls))::DOUBLE AS u FROM e WHERE v IS NOT NULL GROUP BY v), "
+    "c AS (SELECT cls, count(v)::DOUBLE AS c, (count(*) - count(v))::DOUBLE AS m FROM e WHERE cls IS NOT NULL GROUP BY cls), "
+    "s AS (SELECT count(*) FILTER (v IS NOT NULL AND cls IS NOT NULL)::DOUBLE AS s, count(*) FILTER (v IS NULL AND cls IS NULL)::DOUBLE AS b FROM e), "
+    "cells AS (SELECT 1 AS attr_idx, value_idx, cls, coalesce(n, 0) + r / s * m + c / s * u + coalesce(n, 0) / s * b AS weight FROM r CROSS JOIN c CROSS JOIN s LEFT JOIN n USING (value_idx, cls)), "
+    f"{_gains()} SELECT attr_idx, gain FROM gains"
+)
+def infogain_missing_class(spark, sf_dir):
+    data = labelled(spark, sf_dir, missing=True)
+    frame = data.frame.withColumn("quality", F.when(F.col("row_id") % 5 != 0, F.col("quality")))
+    return infogain.info_gain(replace(data, frame=frame).sparse()).where("attr_idx = 1")
+
+
+@query("SELECT 0 AS new_idx, 'o_orderstatus' AS name, 'nominal' AS kind UNION ALL SELECT 1, 'o_orderpriority', 'nominal'")
+def select_without_class(spark, sf_dir):
+    """No class: the last attribute, which is nominal, is taken as one."""
+    data = replace(nominal(spark, sf_dir, "orders"), class_name=None).sparse()
+    return select.AttributeSelection(rank.Ranker()).schema(data)
+
+
+@query("SELECT event_type AS key, count(*) AS n_inserts, row_number() OVER (ORDER BY event_type) - 1 AS position FROM events GROUP BY event_type")
+def kv_in_order(spark, sf_dir):
+    """Items of an ordered map with their place in an in-order walk."""
+    items = keyed.upsert(_events(spark, sf_dir), F.col("event_type"), F.col("event_id"), F.col("event_id"))
+    return numeric.with_position(items, [F.col("key")], "position").select("key", "n_inserts", "position")
