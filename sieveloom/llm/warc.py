@@ -9,6 +9,8 @@ the reader of WARC files, which parses bytes.
 from __future__ import annotations
 
 import gzip
+import hashlib
+import re
 import sys
 
 import pyarrow as pa
@@ -97,7 +99,9 @@ def responses_of_pages(pages: DataFrame, date: str = EPOCH) -> DataFrame:
 def derive(responses: DataFrame, extra: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Two records for each response, ``metadata`` and ``conversion``.
 
-    ``responses``: ``record_id, target_uri, date, http_headers, payload``. Returns
+    ``responses``: ``record_id, target_uri, date, http_headers, payload`` and, if
+    there, ``payload_digest``, the source's own digest of the payload's bytes, and
+    ``warc_headers``, the source record's header lines; both are kept. Returns
     the ``extra`` columns and ``warc_type, record_id, refers_to, target_uri, date,
     content_type, source_digest, digest, length, headers, block``. Defined
     results: a null payload counts as empty, its source digest is that of no
@@ -106,9 +110,12 @@ def derive(responses: DataFrame, extra: tuple[str, ...] = ("page_id",)) -> DataF
     parts; repeated responses give repeated records; no rows give no rows.
     """
     html = F.coalesce("payload", F.lit(""))
+    there = responses.columns
+    own_digest = F.coalesce("payload_digest", sha256(html)) if "payload_digest" in there else sha256(html)
+    warc_lines = F.coalesce("warc_headers", F.lit("")) if "warc_headers" in there else F.lit("")
     base = responses.select(
         *extra, F.coalesce("record_id", record_id(F.lit(None))).alias("refers_to"), "target_uri", F.coalesce("date", F.lit(EPOCH)).alias("date"),
-        F.coalesce("http_headers", F.lit("")).alias("http_headers"), html.alias("html"), sha256(html).alias("source_digest"),
+        F.coalesce("http_headers", F.lit("")).alias("http_headers"), html.alias("html"), own_digest.alias("source_digest"), warc_lines.alias("warc_headers"),
     )
     title = plain_text(F.regexp_extract("html", rf"(?is)<title(?:{_S}[^>]*)?>(.*?)</title", 1))
     lang = F.regexp_extract("html", r"(?i)<html[^>]*[ \t\n\f\r]lang[ ]*=[ ]*[\"']?([A-Za-z0-9-]+)", 1)
@@ -120,6 +127,7 @@ def derive(responses: DataFrame, extra: tuple[str, ...] = ("page_id",)) -> DataF
         F.concat(
             F.array(F.concat(F.lit("title: "), F.regexp_replace(title, r"[\r\n]+", " ")), F.concat(F.lit("language: "), lang), F.concat(F.lit("http-status: "), status), F.concat(F.lit("source-digest: "), F.col("source_digest"))),
             F.transform(source, lambda x: F.concat(F.lit("source-header: "), x)),
+            *([F.transform(F.regexp_extract_all("warc_headers", F.lit(r"([^\r\n]+)"), 1), lambda x: F.concat(F.lit("source-warc-header: "), x))] if "warc_headers" in there else []),
             F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)),
         ),
         "\r\n",
@@ -168,13 +176,25 @@ def parse_warc(data: bytes):
         at = end + 4 + size
 
 
+def decoded(body: bytes, head: bytes) -> str:
+    """A payload as text, by the charset that its HTTP header names, else UTF-8."""
+    named = re.search(rb"(?i)charset=[\"']?([a-z0-9_-]+)", head)
+    try:
+        return body.decode(named[1].decode() if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("response",)) -> DataFrame:
     """Records of WARC files (plain or gzip): ``record_id, warc_type, target_uri,
-    date, refers_to, http_headers, payload``. A file is read whole by one task."""
+    date, refers_to, http_headers, payload, payload_digest, block_digest,
+    warc_headers``. Digests are the source's own, or else those of the bytes as they
+    are, before any decoding. A file is read whole by one task and may hold 2 GB."""
     files = spark.read.format("binaryFile").load(path).select("content")
+    names = ("record_id", "warc_type", "target_uri", "date", "refers_to", "http_headers", "payload", "payload_digest", "block_digest", "warc_headers")
+    digest = lambda data: "sha256:" + hashlib.sha256(data).hexdigest()
 
     def run(batches):
-        names = ("record_id", "warc_type", "target_uri", "date", "refers_to", "http_headers", "payload")
         for batch in batches:
             for content in batch.column(0):
                 rows = []
@@ -182,10 +202,13 @@ def read_warc(spark: SparkSession, path: str, types: tuple[str, ...] = ("respons
                     if h.get("warc-type") not in types:
                         continue
                     head, _, body = block.partition(b"\r\n\r\n") if h.get("content-type", "").startswith("application/http") else (b"", b"", block)
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), head.decode("utf-8", "replace"), body.decode("utf-8", "replace")))
+                    rows.append((
+                        h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-refers-to"), head.decode("utf-8", "replace"), decoded(body, head),
+                        h.get("warc-payload-digest") or digest(body), h.get("warc-block-digest") or digest(block), "\r\n".join(f"{k}: {v}" for k, v in h.items()),
+                    ))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names=list(names))
 
-    return files.mapInArrow(run, "record_id string, warc_type string, target_uri string, date string, refers_to string, http_headers string, payload string")
+    return files.mapInArrow(run, ", ".join(f"{n} string" for n in names))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

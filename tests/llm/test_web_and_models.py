@@ -1,6 +1,7 @@
 """URL filters, WARC derivatives, toxicity, the pipeline and the queries' SQL."""
 
 import gzip
+import hashlib
 import random
 import uuid
 
@@ -81,6 +82,19 @@ def test_warc_responses_are_read(spark, tmp_path):
     assert meta[0].refers_to == "<urn:uuid:1>" and "http-status: 404" in meta[0].block and "source-header: X: y" in meta[0].block
 
 
+def test_source_digests_and_headers_are_kept(spark, tmp_path):
+    body = "<html><head><title>Caf\u00e9</title></head><body>na\u00efve</body></html>".encode("latin-1")
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n" + body
+    head = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{}>\r\nContent-Type: application/http\r\n{}Content-Length: {}\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(b"".join(head.format(i, extra, len(http)).encode() + http + b"\r\n\r\n" for i, extra in enumerate(["WARC-Payload-Digest: sha1:ABC\r\n", ""])))
+    found = warc.derive(warc.read_warc(spark, str(tmp_path / "x.warc")), ()).collect()
+    by = {(r.refers_to, r.warc_type): r for r in found}
+    assert by["<urn:uuid:0>", "conversion"].source_digest == "sha1:ABC" and by["<urn:uuid:1>", "metadata"].source_digest == "sha256:" + hashlib.sha256(body).hexdigest()
+    assert by["<urn:uuid:1>", "conversion"].block == "na\u00efve" and "title: Caf\u00e9\r\n" in by["<urn:uuid:0>", "metadata"].block
+    assert "source-warc-header: warc-payload-digest: sha1:ABC\r\n" in by["<urn:uuid:0>", "metadata"].block
+    assert "WARC-Source-Payload-Digest: sha1:ABC\r\n" in by["<urn:uuid:0>", "conversion"].headers
+
+
 # ---- toxicity ----------------------------------------------------------------------
 
 
@@ -117,6 +131,37 @@ def test_later_models_read_out_of_fold_probabilities():
     assert (chain.score(texts)[:, 1].round() == first).all()
 
 
+def brute_scores(chain, text):
+    """Probabilities by the definition: weights of the features that occur, and of earlier logits."""
+    words = {w for raw in (text or "").lower().split() if (w := raw.strip(toxicity.MARKS))}
+    features = {f for w in words for f in (w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n))}
+    out = []
+    for c in range(len(chain.bias)):
+        z = chain.bias[c] + sum(chain.weights[f][c] for f in features if f in chain.weights)
+        z += sum(link * np.log(p / (1 - p)) for link, p in zip(chain.links[c], np.clip(out, 1e-4, 1 - 1e-4), strict=True))
+        out.append(1 / (1 + np.exp(-z)))
+    return out
+
+
+def test_chain_equals_brute_force(spark):
+    docs, labels = labelled(120)
+    docs += [(900 + i, f"(Word{i}) vile, GROBIANword{i}!") for i in range(20)]
+    frame = documents(spark, [*docs, *docs[:5], (7, "zzz another text of an id")])
+    chain = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    text, known = dict(docs), {i: (int(q == 0), t) for i, q, t in labels}
+    same = toxicity.Chain([text[i] for i in sorted(known)], np.array([known[i] for i in sorted(known)]))
+    assert chain.weights.keys() == same.weights.keys() and np.allclose(chain.bias, same.bias)
+    for r in toxicity.score(frame.where("NOT contains(text, 'zzz')"), chain).collect():
+        low, toxic = brute_scores(same, text[r.doc_id])
+        assert abs(r.p_low_quality - low) < 2e-6 and abs(r.p_toxic - toxic) < 2e-6 and r.toxic == (round(toxic, 6) >= 0.5)
+
+
+def test_training_rows_are_bounded(spark):
+    frame = documents(spark, [(1, f"text {i}") for i in range(3000)] + [(2, "vile")])
+    chain = toxicity.train(frame, spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int"), rows=2)
+    assert len(chain.bias) == 2
+
+
 def test_toxicity_corner_cases(spark):
     docs, labels = labelled(60)
     bad = [(None, 1, 1), (0, None, 1), (1, 1, None), (2, 1, 0), (2, 1, 1), (999, 1, 1)]
