@@ -16,6 +16,9 @@ from sieveloom.llm.license_texts import TEXTS
 
 #: A line that starts as a copyright line, comment signs aside.
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;>-]*(portions )?(copyright( \(c\)| ©|:| by)? ?[0-9<\[{][^\n]*|\(c\) ?[0-9][^\n]*|© ?[0-9][^\n]*|all rights reserved[^\n]{0,2}[ \t]*)"
+#: Also lines without a year: whatever begins with a copyright mark and is no
+#: sentence of a licence. Longer names than these words would be licence text lost.
+ANY_COPYRIGHT_LINE = r"(^|\n)[ \t*#/;>-]*(portions )?(copyright(?! ?(notices?|holders?|owners?|laws?|licen[cs]es?|statements?|interests?|treaty|treaties|protection|status|and|or|is|in|of|to)\b)[^\n]*|\(c\) ?[^\n]*|©[^\n]*|all rights reserved[^\n]{0,2}[ \t]*)"
 #: All that is no letter or digit.
 NOT_WORD = r"[^a-z0-9\x{AA}\x{B5}\x{BA}\x{C0}-\x{1FFF}\x{2C00}-\x{2DFF}\x{3040}-\x{D7FF}\x{F900}-\x{FDFF}\x{10000}-\x{10FFFF}]+"
 #: Equivalent spellings; words stand between single spaces of their own.
@@ -42,29 +45,30 @@ SPELLINGS = (
 )
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: Column, copyright_line: str = COPYRIGHT_LINE) -> Column:
     """The canonical form; null stays null, a text without words is ``' '``-only."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
+    out = F.regexp_replace(F.lower(text), copyright_line, "\n")
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, "  ")), F.lit(" "))
     for pattern, to in SPELLINGS:
         out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
     return out
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+def digest(text: Column, copyright_line: str = COPYRIGHT_LINE) -> Column:
+    return F.sha2(canonical(text, copyright_line).cast("binary"), 256)
 
 
-def known_licenses(spark, texts: dict[str, str] | None = None) -> DataFrame:
+def known_licenses(spark, texts: dict[str, str] | None = None, copyright_line: str = COPYRIGHT_LINE) -> DataFrame:
     """``license_id, digest`` of licence texts (by default the built-in ones)."""
     rows = sorted((TEXTS if texts is None else texts).items())
     known = spark.createDataFrame(rows, "license_id string, text string")
-    return known.select("license_id", digest(F.col("text")).alias("digest"))
+    return known.select("license_id", digest(F.col("text"), copyright_line).alias("digest"))
 
 
-def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", copyright_line: str = COPYRIGHT_LINE) -> DataFrame:
     """``doc_id, digest, license_id`` for every row; license_id is null where the
-    entire text is no known licence.
+    entire text is no known licence. ``known`` must come from the same
+    ``copyright_line``; ``ANY_COPYRIGHT_LINE`` takes lines without a year as well.
 
     Defined results: a null text has a null digest and no licence; texts without
     a word share a digest, which no licence has; licences with the same digest
@@ -72,5 +76,5 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     carried; empty tables give no rows or no licences. Other columns are not read.
     """
     known = known.where("digest IS NOT NULL").groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col), copyright_line).alias("digest"))
     return found.join(broadcast_if_small(known), "digest", "left").select("doc_id", "digest", "license_id")

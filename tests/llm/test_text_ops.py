@@ -63,6 +63,17 @@ def test_licences_match_whatever_their_spelling(spark):
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: None, 6: None, 7: None, 8: None, 9: None, 10: "ISC"}
 
 
+def test_copyright_lines_without_a_year(spark):
+    line = license_scan.ANY_COPYRIGHT_LINE
+    heads = ["Copyright (c) The Foo Authors", "Copyright Jane Doe", "Copyright (C) Jane Doe. All rights reserved.", "(c) Copyright 2020 X", "Copyright: (c) 2020 X", "© Jane Doe", " * Copyright Joyent, Inc. and other contributors", "Copyright (C) Jane Doe 2019"]
+    docs = [(i, f"{head}\n\n{text}") for i, (head, text) in enumerate((h, t) for h in heads for t in (TEXTS["MIT"], TEXTS["ISC"]))]
+    wrong = [(100, "Copyright holders may do as they like\n" + TEXTS["MIT"]), (101, TEXTS["MIT"].replace("copyright notice", "notice")), (102, None)]
+    got = {r.doc_id: r.license_id for r in license_scan.scan(documents(spark, docs + wrong), license_scan.known_licenses(spark, copyright_line=line), copyright_line=line).collect()}
+    assert got == {i: ("MIT", "ISC")[i % 2] for i, _ in docs} | {100: None, 101: None, 102: None}
+    every = license_scan.scan(documents(spark, list(enumerate(TEXTS.values()))), license_scan.known_licenses(spark, copyright_line=line), copyright_line=line)
+    assert {r.doc_id: r.license_id for r in every.collect()} == dict(enumerate(TEXTS))
+
+
 def test_licence_corner_cases(spark):
     known = license_scan.known_licenses(spark)
     assert license_scan.scan(spark.createDataFrame([], DOCS), known).count() == 0
