@@ -115,3 +115,48 @@ def test_compare_is_exact_at_every_dimension():
         got = {(int(a), int(b)) for u, v in embed_dedup.compare(turned, turned, m, m, 0.9, True) for a, b in zip(u, v, strict=True)}
         c = m @ m.T
         assert got == {(i, j) for i in range(300) for j in range(i + 1, 300) if c[i, j] >= 0.9}
+
+
+def most_dealt(spark, run):
+    """The result of ``run()`` and the most rows that one of its stages shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (got.apply(i) for got in [store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)] for i in range(got.size()))}
+    before = stages()
+    out = run()
+    return out, max(n for k, n in stages().items() if k not in before)
+
+
+def test_embedding_pairs_are_dealt_in_waves(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "WAVE_BYTES", 0, raising=False)
+    monkeypatch.setattr(embed_dedup, "FOUND_TABLES", 3, raising=False)
+    vectors = [(i, v.tolist()) for i, v in enumerate(clusters(300))]
+    found, most = most_dealt(spark, lambda: rows(embed_dedup.near_duplicates(table(spark, vectors), tile_rows=48)))
+    assert found == brute_links(vectors)
+    assert most <= 600  # a wave deals as many rows as there are; all pairs at once are 2,384
+
+
+def test_embedding_waves_hold_each_near_pair_once():
+    r = np.random.default_rng(5)
+    for t in (1, 2, 3, 8, 9):
+        leaf, sizes = np.sort(r.integers(0, 4, t)), r.integers(1, 90, t)
+        near = np.eye(4, dtype=bool) | (lambda m: m | m.T)(r.random((4, 4)) < 0.4)
+        made = list(embed_dedup.waves(leaf, sizes, near, 200))
+        assert all(len(w) == 1 or sum(sizes[x] + (sizes[y] if x != y else 0) for x, y in w) <= 200 for w in made)
+        pairs = sorted(tuple(sorted(p)) for w in made for p in w)
+        assert pairs == [(x, y) for x in range(t) for y in range(x, t) if near[leaf[x], leaf[y]]]
+
+
+def test_embedding_classes_with_one_key(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "vector_key", lambda v: F.size(v).cast("long"), raising=False)
+    vectors = [(i, v.tolist()) for i, v in enumerate(clusters(120))] + [(900, [1.0] * 8), (901, [1.0] * 8)]
+    assert rows(embed_dedup.near_duplicates(table(spark, vectors), tile_rows=64)) == brute_links(vectors)
+
+
+def test_compare_dense_rows():
+    r = np.random.default_rng(6)
+    m = embed_dedup.unit(np.concatenate([np.ones((700, 24)) + r.normal(scale=0.23, size=(700, 24)), r.normal(size=(100, 24))]))
+    turned = m @ embed_dedup.Layout(m, 4).rotation
+    got = {(int(a), int(b)) for u, v in embed_dedup.compare(turned[:500], turned[500:], m[:500], m[500:]) for a, b in zip(u, v, strict=True)}
+    c = m[:500] @ m[500:].T
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(c >= 0.95), strict=True)}
+    assert 0.1 * c.size < len(got) < 0.9 * c.size
